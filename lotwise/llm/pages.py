@@ -83,7 +83,7 @@ def tokens_of(line: str) -> tuple[int, ...]:
 
 
 def read_page(text: str, title: str | None) -> tuple[list[tuple[int, str, int]], int]:
-    """(lines, heading): for each visible line its number, text and place (1 furniture, -1 content, 0 unknown); heading is 1 if the page shows one, 0 if it shows none, -1 if that can't be told.
+    """(lines, heading): for each visible line its number, text and place (1 furniture, -1 content, 0 unknown); heading is 1 if the page shows its known title, 0 if it shows neither that nor heading markup, -1 if that can't be told.
 
     In a page with an article landmark the place is known for every line; else
     what stands before the heading (heading markup, or the line equal to the known
@@ -110,7 +110,8 @@ def read_page(text: str, title: str | None) -> tuple[list[tuple[int, str, int]],
         out[heading] = (*out[heading][:2], -1)
         if not landmarks:
             out[:heading] = [(k, v, 1) for k, v, _ in out[:heading]]
-    return out, 1 if heading >= 0 else 0 if marked or title else -1
+    # error pages have heading markup too: only a known title proves content
+    return out, 1 if heading >= 0 and title else 0 if heading < 0 and (marked or title) else -1
 
 
 def is_unset(line: str) -> bool:
@@ -208,12 +209,11 @@ def equivalence_classes(evidence: DataFrame, least_pages: int = 2, least_size: i
 
 
 def template_tokens(evidence: DataFrame) -> DataFrame:
-    """(token, furniture, notice, contentless): the role of every token that has one.
+    """(token, furniture, contentless): the role of every token that has one.
 
     A token's own places on all hosts decide; a token of which no place is known
     takes the role of its equivalence classes. Contentless: other lines that stand
-    mostly on pages without a heading. Notice: furniture that such pages show
-    several times as often as pages at large do.
+    mostly on pages without a heading.
     """
     of_hosts = evidence.where("host <> ''")
     classes = equivalence_classes(evidence)
@@ -225,10 +225,8 @@ def template_tokens(evidence: DataFrame) -> DataFrame:
     told = F.col("bare") + F.col("headed")
     share = F.col("bare") / F.nullif(told, F.lit(0))
     t = t.withColumn("furniture", furniture)
-    base = 0.12  # headings are missing from a few percent of pages; notices from half of theirs
-    t = t.withColumn("notice", F.col("furniture") & (F.col("bare") >= 2) & F.coalesce(share >= base, F.lit(False)))
     t = t.withColumn("contentless", ~F.col("furniture") & (F.col("n") >= 2) & F.coalesce((share >= 0.5) | ((share >= 0.25) & (F.col("bare") >= 3)), F.lit(False)))
-    return t.where("furniture OR contentless").select("token", "furniture", "notice", "contentless")
+    return t.where("furniture OR contentless").select("token", "furniture", "contentless")
 
 
 def _bounded(df: DataFrame, columns: list[str], most: int) -> list:
@@ -248,47 +246,44 @@ def labelled_pages(fetched: DataFrame, listings: DataFrame, most_tokens: int = 2
     """
     records = page_records(fetched, listings)
     evidence = cut(token_evidence(records))
-    roles = _bounded(template_tokens(evidence), ["token", "furniture", "notice", "contentless"], most_tokens)
+    roles = _bounded(template_tokens(evidence), ["token", "furniture", "contentless"], most_tokens)
     words = _bounded(evidence.where("host = '' AND n >= 2"), ["token"], most_tokens)
     sets = (
         frozenset(r[0] for r in roles if r[1]),
         frozenset(r[0] for r in roles if r[2]),
-        frozenset(r[0] for r in roles if r[3]),
         frozenset(r[0] for r in words),
     )
     shared = records.sparkSession.sparkContext.broadcast(sets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        furniture, notices, contentless, known = shared.value
+        furniture, contentless, known = shared.value
         for batch in batches:
             lines_out, reasons = [], []
             for title, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 lines, heading = read_page(text, title)
                 mine: list[int] = []
                 reason = None
-                content = bad = 0
-                noticed = False
+                content = bad = words = 0
                 for k, v, place in lines:
                     ts = tokens_of(v)
                     if has_placeholder(v):
                         reason = "placeholder"
                     if ts and all(t in furniture for t in ts) and place >= 0:
                         mine.append(k)
-                        noticed = noticed or any(t in notices for t in ts)
                     elif is_unset(v):
                         bad, reason = bad + 1, reason or "unset"
-                    elif place < 0 and heading == 1:
-                        content += 1
-                        if all(t in furniture for t in ts) and ts:
-                            noticed = noticed or any(t in notices for t in ts)
-                    elif ts and all(t in furniture for t in ts):
-                        noticed = noticed or any(t in notices for t in ts)
+                    elif ts and all(t in furniture for t in ts):  # a notice where the article should be
+                        continue
                     elif all(t in contentless for t in ts) or is_filler(v, known):
                         bad += 1
                     else:
                         content += 1
-                if reason is None and not content and (bad or noticed):
-                    reason = "no content" if bad else "script notice"
+                        words += len(v.split())
+                # a slot of a few words without the page's title isn't an article
+                if reason is None and heading < 1 and content <= 2 and words < 15:
+                    bad, content = bad + content, 0
+                if reason is None and not content and lines:
+                    reason = "no content" if bad else "notice only"
                 lines_out.append(mine)
                 reasons.append(reason)
             yield pa.RecordBatch.from_arrays(
