@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotwise.plans import units_queries
+from lotwise.plans import function_queries, relational_queries, units_queries  # noqa: F401  (registers its queries)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
@@ -14,8 +14,8 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p7_found": units_queries.p7_found, "p7_converted": units_queries.p7_converted}
+    return {"p7_found": units_queries.p7_found, "p7_converted": units_queries.p7_converted} | function_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(function_queries.ORACLES)
