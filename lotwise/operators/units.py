@@ -47,7 +47,7 @@ def channel_scales(observations: DataFrame, known: dict[str, float], anchor: str
     per = good.groupBy("entity", "channel").agg(F.percentile_approx("value", 0.5, 1000).alias("value"))
     hub = per.groupBy("entity").agg(F.min(F.struct((F.col("channel") != anchor).alias("later"), F.col("channel"), F.col("value"))).alias("h"))
     hub = hub.select("entity", F.col("h.channel").alias("a"), F.col("h.value").alias("va"))
-    pairs = per.join(hub, "entity").where("channel <> a").select("a", F.col("channel").alias("b"), "va", F.col("value").alias("vb"), F.ln(F.col("value") / F.col("va")).alias("d"))
+    pairs = per.join(hub, "entity").where("channel <> a").select("a", F.col("channel").alias("b"), "va", F.col("value").alias("vb"), F.ln(F.try_divide(F.col("value"), F.col("va"))).alias("d"))
     scale = pairs.groupBy("a", "b").agg(F.percentile_approx("d", 0.5, 1000).alias("d"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_links)
     scale = scale.withColumn("d", F.coalesce(snap(F.col("d"), known, tolerance), F.col("d")))
     offset = pairs.drop("d").join(scale, ["a", "b"]).groupBy("a", "b", "d", "n").agg(F.percentile_approx(F.col("vb") - F.exp("d") * F.col("va"), 0.5, 1000).alias("offset"))
@@ -132,8 +132,8 @@ def converted(raw: DataFrame, rates: DataFrame) -> DataFrame:
     rates_here = far_currencies(rates)
 
     def factor(value: Column, own: Column, other: Column, units: dict[str, float], near: float) -> Column:
-        by_text = F.ln(value / own)
-        by_other = F.ln(value / other)
+        by_text = F.ln(F.try_divide(value, own))
+        by_other = F.ln(F.try_divide(value, other))
         snapped = F.coalesce(snap(by_text, units, 0.02), by_text)
         return F.when(value > 0, F.exp(F.coalesce(snapped, F.when(F.abs(by_other) > near, snap(by_other, units, near)), F.lit(0.0))))
 
@@ -150,12 +150,12 @@ def converted(raw: DataFrame, rates: DataFrame) -> DataFrame:
         channel = F.exp(snap(F.col(f"{name}_channel"), POWER_KW_UNITS if field == "power_kw" else PRICE_SCALES, 0.02))
         unreferenced = F.col("fact_kw" if field == "power_kw" else "fact_eur").isNull() & (F.coalesce("car_kw", "engine_kw") if field == "power_kw" else F.coalesce("car_eur", "age_eur")).isNull()
         out = out.withColumn(f"{field}_factor", F.when(unreferenced & F.col(f"{field}_factor").isNotNull() & channel.isNotNull(), channel).otherwise(F.col(f"{field}_factor")))
-    std_kw = F.coalesce(kw / F.col("power_kw_factor"), kw_ref, hp / F.col("power_hp_factor") / HP_PER_KW)
+    std_kw = F.coalesce(F.try_divide(kw, F.col("power_kw_factor")), kw_ref, F.try_divide(hp, F.col("power_hp_factor")) / HP_PER_KW)
     return out.select(
         "raw_id",
         F.round(std_kw, 1).alias("power_kw"),
-        F.round(F.coalesce(hp / F.col("power_hp_factor"), std_kw * HP_PER_KW), 1).alias("power_hp"),
-        F.round(F.coalesce(F.col("field_eur") / F.col("price_factor"), F.col("fact_eur")), 2).alias("price_eur"),
+        F.round(F.coalesce(F.try_divide(hp, F.col("power_hp_factor")), std_kw * HP_PER_KW), 1).alias("power_hp"),
+        F.round(F.coalesce(F.try_divide(F.col("field_eur"), F.col("price_factor")), F.col("fact_eur")), 2).alias("price_eur"),
         *(F.round(f"{f}_factor", 4).alias(f"{f}_factor") for f in ("power_kw", "power_hp", "price")),
     )
 
