@@ -51,7 +51,7 @@ def attributes(raw: DataFrame, rates: DataFrame) -> DataFrame:
         "raw_id", "title", F.coalesce(advert_key(F.col("url")), F.concat(F.lit("row#"), F.col("raw_id").cast("string"))).alias("advert"), model_slug(F.col("url")).alias("model"),
         F.coalesce(litres(F.col("title")), F.round(F.col("displacement_cc") / 100).cast("int")).alias("size"), F.coalesce("year", "fact_year").alias("year"),
         F.coalesce("fact_km", F.col("mileage_km").cast("double"), "fact_rough_km").alias("km"), F.col("fact_place").alias("place"),
-        F.round(F.col("amount") * F.col("rate"), -1).alias("eur"), F.upper(F.nullif(F.trim("vin"), F.lit(""))).alias("vin"),
+        F.when(F.col("amount") * F.col("rate") >= 10, F.round(F.col("amount") * F.col("rate"), -1)).alias("eur"), F.upper(F.nullif(F.trim("vin"), F.lit(""))).alias("vin"),
     )
     # miles come back a kilometre or so beside the rounded figure they were made from
     km = F.col("km")
@@ -82,7 +82,7 @@ def _compare() -> dict[str, Column]:
     whole = (F.col("x_km") % 100 == 0) | (F.col("y_km") % 100 == 0)
     thousands = (F.col("x_km") % 1000 == 0) | (F.col("y_km") % 1000 == 0)
     km = F.when((gap <= 2) & ~whole, "exact").when((gap <= 100) & ~thousands, "near").when((gap <= 2) | (thousands & (gap <= 1000)), "rough").when(gap.isNull(), "rough").otherwise("other")
-    ratio = F.abs(F.ln(F.col("x_eur") / F.col("y_eur")))
+    ratio = F.abs(F.ln(F.try_divide(F.col("x_eur"), F.col("y_eur"))))
     price = F.when(~both("eur"), "unknown").when(ratio <= 0.08, "near").when(ratio <= 0.3, "similar").otherwise("far")
     return {"km": km, "place": same("place"), "year": same("year"), "price": price, "vin": same("vin"), "site": F.when(F.col("x_host") == F.col("y_host"), "same").otherwise("other")}
 
