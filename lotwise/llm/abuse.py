@@ -24,8 +24,8 @@ from lotwise.session import cores_of, cut
 
 WINDOW, STRIDE = 20, 10  #: words of a window, and between the starts of two
 _BREAK = re.compile(r"(?<=[.!?…])[\"'»)]*\s+|\n+")
-_TOKEN = re.compile(r"[^\W_](?:[^\W_]|[*@$'’#](?=[\w*@$#]))*\*?")
-_SPACED = re.compile(r"(?<!\w)(?:[^\W\d_][.\-_*· ]){3,}[^\W\d_](?!\w)")
+_TOKEN = re.compile(r"(?:[@$](?=[^\W\d_]))?[^\W_](?:[^\W_]|[*@$'’#](?=[\w*@$#]))*[*@$]?")
+_SPACED = re.compile(r"(?<!\w)[^\W\d_](?:([.\-_*· ])[^\W\d_])(?:\1[^\W\d_]){2,}(?!\w)")
 _REPEATED = re.compile(r"([^\W\d_])\1{2,}")
 _LEET = str.maketrans({"@": "a", "$": "s", "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"})
 _SPEAKER = re.compile(r"^\s*[\w\-]+_\w+:\s*")
@@ -124,9 +124,10 @@ def train(texts: list[str], labels: list[int], common: set[str] | frozenset[str]
         kept = [w for w in unusual if w not in doubtful]
         sample = lambda of, k: [of[i] for i in rng.choice(len(of), size=min(k, len(of)), replace=False)]
         neg = sample(kept, negatives * 5 // 7) + sample(everyday, negatives * 2 // 7)
-        weight = max(1.0, len(neg) / max(1, len(pos)) / 3)
+        weight = max(1, len(neg)) / max(1, len(pos)) / 3  # positives weigh a third of the negatives, however many there are
         rows = sorted([(w, 1.0, weight) for w in pos] + [(w, 0.0, 1.0) for w in neg], key=lambda r: (len(r[0]), rng.random()))
-        blocks = [rows[k : k + batch] for k in range(0, len(rows), batch)]
+        size = min(batch, max(16, len(rows) // 8))
+        blocks = [rows[k : k + size] for k in range(0, len(rows), size)]
         for b in rng.permutation(len(blocks)):
             ws, ys, ts = zip(*blocks[b], strict=True)
             _, g = model.loss_and_gradient([list(w) for w in ws], np.array(ys, np.float32), np.array(ts, np.float32))

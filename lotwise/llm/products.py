@@ -99,8 +99,8 @@ def fit_weights(patterns: list[dict], rounds: int = 200) -> tuple[dict[str, dict
     level = {f: np.array([FIELDS[f].index(p[f]) for p in patterns]) for f in names}
     m = {f: np.array([0.9 if i == 0 else 0.1 / max(1, len(FIELDS[f]) - 1) for i in range(len(FIELDS[f]))]) for f in names}
     m["site"] = np.array([0.2, 0.8])
-    u = {f: np.bincount(level[f], weights=n, minlength=len(FIELDS[f])) + 1.0 for f in names}
-    u = {f: v / v.sum() for f, v in u.items()}
+    u = {f: np.array([0.1 if i == 0 else 0.9 / max(1, len(FIELDS[f]) - 1) for i in range(len(FIELDS[f]))]) for f in names}
+    start = {id(m): {f: 5 * v for f, v in m.items()}, id(u): {f: 5 * v for f, v in u.items()}}  # counts that keep small inputs sane
     prior = 0.1
     for _ in range(rounds):
         lm, lu = np.log(prior) * np.ones(len(n)), np.log(1 - prior) * np.ones(len(n))
@@ -113,7 +113,7 @@ def fit_weights(patterns: list[dict], rounds: int = 200) -> tuple[dict[str, dict
         for f in names:
             known = np.array([x != "unknown" for x in FIELDS[f]])
             for table, w in ((m, g * n), (u, (1 - g) * n)):
-                c = (np.bincount(level[f], weights=w, minlength=len(known)) + 0.1) * known
+                c = (np.bincount(level[f], weights=w, minlength=len(known)) + start[id(table)][f]) * known
                 table[f] = np.where(known, c / c.sum(), 1.0)
         if abs(prior - before) < 1e-9:
             break
