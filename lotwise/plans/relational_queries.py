@@ -245,3 +245,10 @@ def cl09(s, d):
     code = F.col("status_code")
     outcome = F.when(F.col("blocked_by_robots"), "ROBOTS").when(F.col("from_cache"), "UNCHANGED").when(code.between(200, 299), "ACCESSIBLE").when(code.isNull(), "ERROR").otherwise(F.concat(F.lit("HTTP_"), code.cast("string")))
     return table(s, d, "fetch_results").groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("tf01_candidates")
+def tf01(s, d):
+    from lotwise.operators.candidates import candidates
+
+    return candidates(table(s, d, "fetch_results").select(F.col("fetch_id").alias("page_id"), "url", "text"))
