@@ -109,7 +109,8 @@ def train(texts: list[str], labels: list[int], common: set[str] | frozenset[str]
     lift = _lift(docs, y)
     benign = Counter(w for d, v in zip(docs, y, strict=True) if not v for w in set(d))
     unusual = sorted(w for w in benign if rarity(w, common) >= 0.2)
-    everyday = sorted(w for w in benign if rarity(w, common) < 0.2)
+    everyday = sorted((w for w in benign if rarity(w, common) < 0.2), key=lambda w: (-benign[w], w))
+    hard: list[tuple[str, ...]] = []  # negatives that the network still takes for positives
     # a positive of nothing but everyday sentences is a labelling mistake
     positive_docs = [[w for w in d if rarity(w, common) >= 0.25] for d, v in zip(docs, y, strict=True) if v]
     positive_docs = [d for d in positive_docs if d]
@@ -123,7 +124,7 @@ def train(texts: list[str], labels: list[int], common: set[str] | frozenset[str]
         pos += [_masked(rng, w, lift) for w in pos if rng.random() < 0.3]
         kept = [w for w in unusual if w not in doubtful]
         sample = lambda of, k: [of[i] for i in rng.choice(len(of), size=min(k, len(of)), replace=False)]
-        neg = sample(kept, negatives * 5 // 7) + sample(everyday, negatives * 2 // 7)
+        neg = sample(kept, negatives * 5 // 7) + sample(everyday, negatives * 2 // 7) + hard
         weight = max(1, len(neg)) / max(1, len(pos)) / 3  # positives weigh a third of the negatives, however many there are
         rows = sorted([(w, 1.0, weight) for w in pos] + [(w, 0.0, 1.0) for w in neg], key=lambda r: (len(r[0]), rng.random()))
         size = min(batch, max(16, len(rows) // 8))
@@ -136,10 +137,13 @@ def train(texts: list[str], labels: list[int], common: set[str] | frozenset[str]
             ends = np.cumsum([len(d) for d in positive_docs])[:-1]
             scores = np.split(model.score([list(w) for d in positive_docs for w in d]), ends)
             rank = [[float(s) + 0.3 * q for s, q in zip(sc, qs, strict=True)] for sc, qs in zip(scores, prior, strict=True)]
+            pool = everyday[:8000]
+            hard = [w for w, sc in zip(pool, model.score([list(w) for w in pool]), strict=True) if sc > 0.2][:800]
             if epoch >= 8:
                 trust = np.array([1.0 if sc.max() > 0.3 else 0.0 for sc in scores])
                 worst = model.score([list(w) for w in unusual])
                 doubtful = {w for w, sc in zip(unusual, worst, strict=True) if sc > 0.8 and benign[w] <= 2}
+                hard += [w for w, sc in zip(unusual, worst, strict=True) if sc > 0.2 and w not in doubtful][:800]
     return model, _threshold(model, docs, y)
 
 
