@@ -8,6 +8,10 @@ the role (furniture or content) that the places of their members show: before th
 heading, inside or outside the landmark of the article. What the furniture leaves
 open are the slots; a page whose slots hold only unset values, placeholders, filler
 or the lines of contentless pages is residue (P4), else its furniture is P3.
+
+Lines of a label and a value are aligned over the pages of a host by their label:
+what differs behind it is the slot. A page in which an induced slot is blank, left
+at a default or still holds a variable's name is residue too.
 """
 
 from __future__ import annotations
@@ -41,10 +45,17 @@ _HEADING = re.compile(r"<(h1|b|strong)\b", re.I)
 UNSET = ("undefined", "null", "nan", "none", "nil", "n/a", "[object object]", "(null)")
 # The delimiters of common template languages, opening and closing.
 DELIMITERS = (("{{", "}}"), ("{%", "%}"), ("${", "}"), ("#{", "}"), ("<%=", "%>"), ("<%", "%>"), ("[[", "]]"), ("%%", "%%"), ("__", "__"), ("@@", "@@"), ("[%", "%]"), ("{$", "}"), ("{", "}"))
-#: An unfilled slot keeps a variable's name between delimiters: lower or upper case throughout, parts joined by dots or underscores. Real words in ornaments start with a capital or are numbers.
-_NAME = r"(?:[a-z][a-z0-9]*(?:[._][a-z0-9]+)*|[A-Z][A-Z0-9]*(?:[._][A-Z0-9]+)+|[A-Z]{2,}[A-Z0-9]*)"
+#: An unfilled slot keeps a variable's name between delimiters: lower or upper case throughout, parts joined by dots or underscores, or camelCase. Real words in ornaments start with a capital or are numbers.
+_NAME = r"(?:[a-z][a-z0-9]*(?:[._][a-z0-9]+)*|[a-z][a-z0-9]*(?:[._]?[A-Z][a-z0-9]*)+|[A-Z][A-Z0-9]*(?:[._][A-Z0-9]+)+|[A-Z]{2,}[A-Z0-9]*)"
 _PLACEHOLDER = re.compile("|".join(rf"{re.escape(a)}\s*{_NAME}\s*{re.escape(b)}" for a, b in DELIMITERS))
 _DELIMITED = re.compile(r"[{<%\[_@#$]")
+#: In an induced slot whatever signs stand around a lone name are delimiters.
+_SLOT_NAME = re.compile(rf"[^\w\s]{{1,3}}\s*{_NAME}\s*[^\w\s]{{1,3}}")
+_LABEL = re.compile(r"([^\d:=]{2,40}?)\s*[:=](?:\s+(.*)|$)")
+# Units that a template prints beside a number, set or not.
+UNITS = frozenset("€ $ £ eur euro usd gbp chf pln zł sek km mi kw ps hp cv ch pk km/h bhp ccm cm³ cc l".split())
+SLOTS = "="  #: stands before the host in the evidence of slots
+BLANK, DEFAULT, NAME = "blank slot", "default in slot", "name in slot"
 
 
 def visible(line: str) -> str:
@@ -143,6 +154,42 @@ def has_placeholder(line: str) -> bool:
     return bool(_DELIMITED.search(line)) and bool(_PLACEHOLDER.search(line))
 
 
+@lru_cache(100_000)
+def _label_key(label: str) -> int | None:
+    return word_key(label.lower()) if any(c.isalpha() for c in label) else None
+
+
+def slot_of(line: str) -> tuple[int, str] | None:
+    """(label key, filler) of a visible line that is a label, a colon or equals sign and a value; the filler of a blank slot is ''."""
+    if ":" not in line and "=" not in line:
+        return None
+    m = _LABEL.match(line)
+    key = _label_key(m[1].strip()) if m else None
+    return None if key is None else (key, (m[2] or "").strip())
+
+
+def filler_kind(filler: str) -> str | None:
+    """What a filler would be if its slot usually holds a number: blank (nothing, signs or a bare unit), a default (zeros only), a name, or None for a value."""
+    if any(c.isdigit() for c in filler):
+        return None if any(c in "123456789" for c in filler) or any(c.isdigit() and c != "0" for c in filler) else DEFAULT
+    words = filler.lower().split()
+    if all(w in UNITS or not any(c.isalnum() for c in w) for w in words):
+        return BLANK
+    return NAME if _SLOT_NAME.fullmatch(filler) else None
+
+
+def bad_slot(slot: tuple[int, str] | None, host: str, slots: dict[tuple[str, int], int]) -> str | None:
+    """The fault of a line's slot, if its label is one that the template fills: 1 in ``slots`` for any values, 2 for numbers, 3 for numbers that never come near zero."""
+    if slot is None:
+        return None
+    kind = BLANK if not slot[1] else filler_kind(slot[1])
+    if kind is None:
+        return None
+    holds = slots.get((host, slot[0]), slots.get(("", slot[0]), 0))
+    least = 1 if not slot[1] else 3 if kind == DEFAULT else 2
+    return kind if holds >= least else None
+
+
 def page_records(fetched: DataFrame, listings: DataFrame) -> DataFrame:
     """(kind, id, host, title, text) of both tables; titles in canonical lower case, empty and NULL texts left out."""
     raw = with_canonical(listings.where("raw_text IS NOT NULL AND raw_text <> ''").select("raw_id", "source_domain", "title", "raw_text"), "title", "title")
@@ -157,17 +204,36 @@ def token_evidence(records: DataFrame) -> DataFrame:
     Columns host, token, n (pages), fp (sum of page hashes: equal sums, equal
     occurrence vectors), outside, inside (places known as furniture or content),
     bare, headed (pages without and with a heading). host '' and n = pages carry
-    the words of headed pages for telling filler.
+    the words of headed pages for telling filler. A host after SLOTS carries its
+    labels: n lines with a value, outside those with a number other than zero,
+    inside blank ones, bare numbers below ten, headed fillers of filler_kind.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[tuple[str, int], list[int]] = {}
             words: Counter = Counter()
+            filled: dict[tuple[str, int], list[int]] = {}
             for host, kind, rid, title, text in zip(*(batch.column(i).to_pylist() for i in (2, 0, 1, 3, 4)), strict=True):
                 lines, heading = read_page(text, title)
                 page = xxhash.xxh3_64_intdigest(f"{kind}{rid}") >> 20  # 44 bits: sums of a million pages stay exact
                 seen: dict[int, list[int]] = {}
                 for _, v, place in lines:
+                    slot = slot_of(v)
+                    if slot is not None and place <= 0:
+                        row = filled.get((host, slot[0]))
+                        if row is None:
+                            row = filled[host, slot[0]] = [0, 0, 0, 0, 0, 0]
+                        kind = filler_kind(slot[1])
+                        if not slot[1]:
+                            row[3] += 1
+                        elif kind is not None:
+                            row[5] += 1
+                        else:
+                            row[0] += 1
+                            if any(c.isdigit() for c in slot[1]):
+                                row[2] += 1
+                                first = _NUMBER.search(slot[1])
+                                row[4] += first is not None and len(first[0]) == 1
                     for t in tokens_of(v):
                         s = seen.setdefault(t, [0, 0, 0])
                         s[0] += 1
@@ -189,6 +255,7 @@ def token_evidence(records: DataFrame) -> DataFrame:
                         row[5] += 1
                 if heading == 1:
                     words.update(set(_WORD.findall(" ".join(v for _, v, place in lines if place <= 0).lower())))
+            found.update({(SLOTS + h, t): row for (h, t), row in filled.items()})
             keys, rows = list(found), list(found.values())
             n_words = len(words)
             columns = [
@@ -204,7 +271,7 @@ def token_evidence(records: DataFrame) -> DataFrame:
 
 def equivalence_classes(evidence: DataFrame, least_pages: int = 2, least_size: int = 2) -> DataFrame:
     """(host, fp, n, size, outside, inside): sets of tokens of one host that occur equally often on exactly the same pages, with the places of their members summed."""
-    of_hosts = evidence.where("host <> '' AND n >= %d" % least_pages)
+    of_hosts = evidence.where(f"host <> '' AND NOT startswith(host, '{SLOTS}') AND n >= {least_pages}")
     return of_hosts.groupBy("host", "fp", "n").agg(F.count(F.lit(1)).alias("size"), F.sum("outside").alias("c_outside"), F.sum("inside").alias("c_inside")).where(F.col("size") >= least_size)
 
 
@@ -215,7 +282,7 @@ def template_tokens(evidence: DataFrame) -> DataFrame:
     takes the role of its equivalence classes. Contentless: other lines that stand
     mostly on pages without a heading.
     """
-    of_hosts = evidence.where("host <> ''")
+    of_hosts = evidence.where(f"host <> '' AND NOT startswith(host, '{SLOTS}')")
     classes = equivalence_classes(evidence)
     lent = of_hosts.join(classes, ["host", "fp", "n"]).groupBy("token").agg(F.sum("c_outside").alias("c_outside"), F.sum("c_inside").alias("c_inside"))
     own = of_hosts.groupBy("token").agg(*[F.sum(c).alias(c) for c in ("n", "outside", "inside", "bare", "headed")])
@@ -229,6 +296,22 @@ def template_tokens(evidence: DataFrame) -> DataFrame:
     return t.where("furniture OR contentless").select("token", "furniture", "contentless")
 
 
+def induced_slots(evidence: DataFrame, least: int = 3, least_everywhere: int = 8) -> DataFrame:
+    """(host, label, holds): the labels behind which a host's pages fill in a value: 1 any, 2 a number, 3 a number that never comes near zero.
+
+    A host with fewer than ``least`` lines of a label takes what all hosts
+    together show (host ''), if those are ``least_everywhere``. A label that often
+    stands alone has its values in the next line and is no slot (holds 0).
+    """
+    lines = evidence.where(f"startswith(host, '{SLOTS}')").withColumn("host", F.expr(f"substr(host, {len(SLOTS) + 1})"))
+    both = lines.where(F.col("n") + F.col("inside") >= least).select("host", "token", "n", "outside", "inside", "bare", "headed")
+    every = lines.groupBy("token").agg(*[F.sum(c).alias(c) for c in ("n", "outside", "inside", "bare", "headed")]).where(F.col("n") + F.col("inside") >= least_everywhere)
+    both = both.union(every.select(F.lit("").alias("host"), "token", "n", "outside", "inside", "bare", "headed"))
+    number = (F.col("outside") * 4 >= F.col("n") * 3) & (F.col("headed") * 3 <= F.col("n"))
+    holds = F.when((F.col("n") < least) | (F.col("inside") * 3 > F.col("n")), 0).when(~number, 1).when(F.col("bare") * 20 > F.col("outside"), 2).otherwise(3)
+    return both.select("host", F.col("token").alias("label"), holds.alias("holds"))
+
+
 def _bounded(df: DataFrame, columns: list[str], most: int) -> list:
     rows = df.select(*columns).limit(most + 1).collect()
     if len(rows) > most:
@@ -247,19 +330,21 @@ def labelled_pages(fetched: DataFrame, listings: DataFrame, most_tokens: int = 2
     records = page_records(fetched, listings)
     evidence = cut(token_evidence(records))
     roles = _bounded(template_tokens(evidence), ["token", "furniture", "contentless"], most_tokens)
+    slots = _bounded(induced_slots(evidence), ["host", "label", "holds"], most_tokens)
     words = _bounded(evidence.where("host = '' AND n >= 2"), ["token"], most_tokens)
     sets = (
         frozenset(r[0] for r in roles if r[1]),
         frozenset(r[0] for r in roles if r[2]),
         frozenset(r[0] for r in words),
+        {(r[0], r[1]): r[2] for r in slots},
     )
     shared = records.sparkSession.sparkContext.broadcast(sets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        furniture, contentless, known = shared.value
+        furniture, contentless, known, slots = shared.value
         for batch in batches:
             lines_out, reasons = [], []
-            for title, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for title, text, host in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
                 lines, heading = read_page(text, title)
                 mine: list[int] = []
                 reason = None
@@ -279,6 +364,7 @@ def labelled_pages(fetched: DataFrame, listings: DataFrame, most_tokens: int = 2
                     else:
                         content += 1
                         words += len(v.split())
+                        reason = reason or bad_slot(slot_of(v), host, slots)
                 # a slot of a few words without the page's title isn't an article
                 if reason is None and heading < 1 and content <= 2 and words < 15:
                     bad, content = bad + content, 0
@@ -291,7 +377,7 @@ def labelled_pages(fetched: DataFrame, listings: DataFrame, most_tokens: int = 2
                 names=["record_type", "record_id", "furniture", "residue", "reason"],
             )
 
-    return records.select("kind", "id", "title", "text").mapInArrow(run, "record_type string, record_id long, furniture array<long>, residue boolean, reason string")
+    return records.select("kind", "id", "title", "text", F.coalesce("host", F.lit("?")).alias("host")).mapInArrow(run, "record_type string, record_id long, furniture array<long>, residue boolean, reason string")
 
 
 def furniture_lines(pages: DataFrame) -> DataFrame:

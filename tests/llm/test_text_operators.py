@@ -83,6 +83,17 @@ def test_placeholders_and_ornaments():
     assert all(pages.has_placeholder(x) for x in yes) and not any(pages.has_placeholder(x) for x in no)
 
 
+def test_slots_left_by_the_template(spark):
+    body = "The car runs quietly and pulls cleanly on every trip."
+    price = {i: f"Preis: {7000 + 311 * i} EUR" for i in range(8)} | {20: "Preis:", 21: "Preis: EUR", 22: "Preis: 0 EUR", 23: "Preis: ((preis))", 24: "Preis: auf Anfrage", 25: "{{vehicleTitle}}"}
+    rows = [(i, "a.example", f"Car n{i}", f"Car n{i}\n{p}\nVorbesitzer: {i % 3}\nExtras:\nradio\n{body}") for i, p in price.items()]
+    rows += [(40, "new.example", "Car o", f"Car o\nPreis:\n{body}")]
+    raws = spark.createDataFrame(rows, "raw_id long, source_domain string, title string, raw_text string")
+    none = spark.createDataFrame([], "fetch_id long, source_domain string, text string")
+    got = {r["record_id"]: r["reason"] for r in pages.labelled_pages(none, raws).where("residue").collect()}
+    assert got == {20: "blank slot", 21: "blank slot", 22: "default in slot", 23: "name in slot", 25: "placeholder", 40: "blank slot"}
+
+
 # P5
 def test_same_items(spark):
     schema = "raw_id long, title string, url string, year int, mileage_km int, displacement_cc int, price double, currency string, vin string, description string, raw_text string, eur string"
