@@ -4,8 +4,9 @@ Observations of the same entity from different channels (the number fields of
 each site, the units written in texts) are linked, each pair of channels gets a
 robust scale and offset, the scales are snapped to known conversions and
 propagated through the graph of channels, starting from the texts, whose units
-are explicit. What then still separates a single number from its entity's
-reference is snapped in the same way and tells the unit of that one number.
+are explicit. Scale and offset of its channel are what a number is expected to
+show; what then still separates it from its entity's reference is snapped in the
+same way and tells the unit of that one number.
 """
 
 from __future__ import annotations
@@ -33,13 +34,15 @@ def snap(log_ratio: Column, known: dict[str, float], tolerance: float) -> Column
 
 
 def channel_scales(observations: DataFrame, known: dict[str, float], anchor: str = TEXT_CHANNEL, tolerance: float = 0.02, min_links: int = 3, rounds: int = 6) -> DataFrame:
-    """(entity, channel, value) -> (channel, log_scale, offset, n_links): how each channel's numbers relate to the anchor's unit.
+    """(entity, channel, value) -> (channel, log_scale, offset, n_links, spread): how each channel's numbers relate to the anchor's unit: exp(log_scale) * value + offset.
 
     Each entity's channels are paired with one hub channel of that entity (the
     anchor where it is present), so an entity of n channels makes n - 1 pairs,
     never n squared. Pairs are reduced to medians; scales that are near a known
-    conversion are snapped to it, others are kept as measured; the graph is
-    walked outward from the anchor. Channels without a path to the anchor, or
+    conversion are snapped to it, others are kept as measured; an offset counts
+    where both quartiles of what the scale leaves are on its side of zero. The
+    graph is walked outward from the anchor; spread is the widest range between
+    quartiles of the log ratio on the way. Channels without a path to the anchor, or
     with fewer than ``min_links`` shared entities, are left out. Values that are
     NULL or not positive and NULL entities are ignored.
     """
@@ -48,15 +51,17 @@ def channel_scales(observations: DataFrame, known: dict[str, float], anchor: str
     hub = per.groupBy("entity").agg(F.min(F.struct((F.col("channel") != anchor).alias("later"), F.col("channel"), F.col("value"))).alias("h"))
     hub = hub.select("entity", F.col("h.channel").alias("a"), F.col("h.value").alias("va"))
     pairs = per.join(hub, "entity").where("channel <> a").select("a", F.col("channel").alias("b"), "va", F.col("value").alias("vb"), F.ln(F.try_divide(F.col("value"), F.col("va"))).alias("d"))
-    scale = pairs.groupBy("a", "b").agg(F.percentile_approx("d", 0.5, 1000).alias("d"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_links)
+    scale = pairs.groupBy("a", "b").agg(F.percentile_approx("d", [0.25, 0.5, 0.75], 1000).alias("q"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_links)
+    scale = scale.select("a", "b", F.col("q")[1].alias("d"), (F.col("q")[2] - F.col("q")[0]).alias("spread"), "n")
     scale = scale.withColumn("d", F.coalesce(snap(F.col("d"), known, tolerance), F.col("d")))
-    offset = pairs.drop("d").join(scale, ["a", "b"]).groupBy("a", "b", "d", "n").agg(F.percentile_approx(F.col("vb") - F.exp("d") * F.col("va"), 0.5, 1000).alias("offset"))
-    edges = cut(offset.select("a", "b", "d", "offset", "n").union(offset.select("b", "a", -F.col("d"), -F.col("offset"), "n")))
-    known_channels = observations.sparkSession.createDataFrame([(anchor, 0.0, 0.0, 0)], "channel string, log_scale double, offset double, n_links long")
+    offset = pairs.drop("d").join(scale, ["a", "b"]).groupBy("a", "b", "d", "spread", "n").agg(F.percentile_approx(F.col("vb") - F.exp("d") * F.col("va"), [0.25, 0.5, 0.75], 1000).alias("q"))
+    offset = offset.withColumn("offset", F.when((F.col("q")[0] > 0) | (F.col("q")[2] < 0), F.col("q")[1]).otherwise(0.0))
+    edges = cut(offset.select("a", "b", "d", "offset", "spread", "n").union(offset.select("b", "a", -F.col("d"), -F.col("offset") * F.exp(-F.col("d")), "spread", "n")))
+    known_channels = observations.sparkSession.createDataFrame([(anchor, 0.0, 0.0, 0, 0.0)], "channel string, log_scale double, offset double, n_links long, spread double")
     for _ in range(rounds):
-        step = edges.join(known_channels.select(F.col("channel").alias("a"), "log_scale"), "a").join(known_channels.select(F.col("channel").alias("b")), "b", "left_anti")
-        found = step.groupBy("b").agg(F.max(F.struct("n", "a", (F.col("log_scale") + F.col("d")).alias("s"), "offset")).alias("m"))
-        found = cut(found.select(F.col("b").alias("channel"), F.col("m.s").alias("log_scale"), F.col("m.offset"), F.col("m.n").alias("n_links")))
+        step = edges.join(known_channels.select(F.col("channel").alias("a"), "log_scale", F.col("offset").alias("before"), F.col("spread").alias("widest")), "a").join(known_channels.select(F.col("channel").alias("b")), "b", "left_anti")
+        found = step.groupBy("b").agg(F.max(F.struct("n", "a", (F.col("log_scale") + F.col("d")).alias("s"), (F.exp("d") * F.col("before") + F.col("offset")).alias("offset"), F.greatest("spread", "widest").alias("spread"))).alias("m"))
+        found = cut(found.select(F.col("b").alias("channel"), F.col("m.s").alias("log_scale"), F.col("m.offset"), F.col("m.n").alias("n_links"), F.col("m.spread")))
         if found.isEmpty():
             break
         known_channels = known_channels.union(found)
@@ -101,7 +106,7 @@ def _unit_rows(raw: DataFrame, rates: DataFrame) -> DataFrame:
     rate = rates.where("currency IS NOT NULL").groupBy("currency").agg(F.max("eur_per_unit").alias("rate"))
     rows = rows.join(rate.withColumnRenamed("currency", "code"), "code", "left").join(rate.select(F.col("currency").alias("fact_currency"), F.col("rate").alias("fact_rate")), "fact_currency", "left")
     entity = F.when(F.col("model").isNotNull() & F.col("size").isNotNull() & F.col("year").isNotNull() & F.col("tkm").isNotNull(), F.concat_ws("|", "model", "size", "year", "tkm"))
-    return rows.withColumns({"entity": entity, "field_eur": F.col("price") * F.col("rate"), "fact_eur": F.col("fact_amount") * F.col("fact_rate")})
+    return rows.withColumns({"entity": entity, "fact_hp": F.col("fact_kw") * HP_PER_KW, "field_eur": F.col("price") * F.col("rate"), "fact_eur": F.col("fact_amount") * F.col("fact_rate")})
 
 
 def converted(raw: DataFrame, rates: DataFrame) -> DataFrame:
@@ -111,45 +116,50 @@ def converted(raw: DataFrame, rates: DataFrame) -> DataFrame:
     a number, its ``_factor`` (1.0 when the number is what the field says). The
     reference of a number is what the row's own text states; without such a text
     the median of the texts of the same car on other sites, then of the same
-    model and engine (power) or year and engine (price); each reference is used
-    only at the tolerance its spread allows, and where there is none the field is
-    believed. Unknown stays NULL. Unknown currencies give a NULL euro price.
+    model and engine (power) or year and engine (price). A number is taken to be in
+    its site's unit, as the channel graph has it, unless its reference, at the
+    tolerance its spread allows, says otherwise; a channel's offset is taken off
+    for that comparison only. Sites outside the graph are believed. Unknown stays NULL. Unknown currencies give a NULL euro price.
     Repeated ids are treated row by row; NULL or empty texts state nothing.
     """
     rows = cut(_unit_rows(raw, rates))
-    scales = {
-        "power_kw": channel_scales(_observations(rows, "power_kw", "fact_kw"), POWER_KW_UNITS),
-        "field_eur": channel_scales(_observations(rows, "field_eur", "fact_eur"), PRICE_SCALES, tolerance=0.08),
+    graphs = {  # field -> its observations, what the texts state, known units, tolerance of the scales, widest spread
+        "power_kw": ("power_kw", "fact_kw", POWER_KW_UNITS, 0.02, 0.25),
+        "power_hp": ("power_hp", "fact_hp", POWER_HP_UNITS, 0.02, 0.25),
+        "price": ("field_eur", "fact_eur", PRICE_SCALES, 0.08, 0.6),
     }
-    for name, s in scales.items():
-        rows = rows.join(s.select("channel", F.col("log_scale").alias(f"{name}_channel")), "channel", "left")
-    by_car = _references(rows, ["entity"], "fact_kw", "car_kw", 1).join(_references(rows, ["entity"], "fact_eur", "car_eur", 1), "entity", "full_outer")
-    by_engine = _references(rows, ["model", "size"], "fact_kw", "engine_kw", 3)
-    by_age = _references(rows, ["size", "year"], "fact_eur", "age_eur", 5)
+    base = rows
+    for name, (field, fact, units, tolerance, widest) in graphs.items():
+        s = channel_scales(_observations(base, field, fact), units, tolerance=tolerance).where(F.col("spread") <= widest)
+        unit = F.coalesce(snap(F.col("log_scale"), units, 0.02), F.lit(0.0))
+        # units closer together than rounding need many links
+        unit = F.when((F.abs(unit) < 0.02) & (F.col("n_links") < 20), 0.0).otherwise(unit)
+        site = cut(s.select("channel", unit.alias(f"{name}_channel"), F.col("offset").alias(f"{name}_offset")))
+        rows = rows.join(site, "channel", "left")
+    by_car = _references(base, ["entity"], "fact_kw", "car_kw", 1).join(_references(base, ["entity"], "fact_eur", "car_eur", 1), "entity", "full_outer")
+    by_engine = _references(base, ["model", "size"], "fact_kw", "engine_kw", 3)
+    by_age = _references(base, ["size", "year"], "fact_eur", "age_eur", 5)
     rows = rows.join(by_car, "entity", "left").join(by_engine, ["model", "size"], "left").join(by_age, ["size", "year"], "left")
 
     kw_ref = F.coalesce("fact_kw", "car_kw", "engine_kw")
     rates_here = far_currencies(rates)
 
-    def factor(value: Column, own: Column, other: Column, units: dict[str, float], near: float) -> Column:
+    def factor(name: str, value: Column, own: Column, other: Column, units: dict[str, float], near: float, rounding: float = 0.0) -> Column:
+        site = F.coalesce(f"{name}_channel", F.lit(0.0))
+        level = value - F.coalesce(f"{name}_offset", F.lit(0.0))
         by_text = F.ln(F.try_divide(value, own))
-        by_other = F.ln(F.try_divide(value, other))
-        snapped = F.coalesce(snap(by_text, units, 0.02), by_text)
-        return F.when(value > 0, F.exp(F.coalesce(snapped, F.when(F.abs(by_other) > near, snap(by_other, units, near)), F.lit(0.0))))
+        by_other = F.ln(F.try_divide(F.when(level > 0, level), other))
+        snapped = F.when(F.abs(value - own) <= rounding, 0.0).otherwise(F.coalesce(snap(by_text, units, 0.02), by_text))
+        return F.when(value > 0, F.exp(F.coalesce(snapped, F.when(F.abs(by_other - site) > near, snap(by_other, units, near)), site)))
 
     kw, hp = F.col("power_kw"), F.col("power_hp")
     out = rows.withColumns(
         {
-            "power_kw_factor": factor(kw, F.col("fact_kw"), F.coalesce("car_kw", "engine_kw"), POWER_KW_UNITS, 0.1),
-            "power_hp_factor": factor(hp, F.col("fact_kw") * HP_PER_KW, F.coalesce("car_kw", "engine_kw") * HP_PER_KW, POWER_HP_UNITS, 0.1),
-            "price_factor": factor(F.col("field_eur"), F.col("fact_eur"), F.coalesce("car_eur", "age_eur"), PRICE_SCALES | rates_here, 0.55),
+            "power_kw_factor": factor("power_kw", kw, F.col("fact_kw"), F.coalesce("car_kw", "engine_kw"), POWER_KW_UNITS, 0.1, 1.0),
+            "power_hp_factor": factor("power_hp", hp, F.col("fact_hp"), F.coalesce("car_kw", "engine_kw") * HP_PER_KW, POWER_HP_UNITS, 0.1, 0.5 + HP_PER_KW / 2),
+            "price_factor": factor("price", F.col("field_eur"), F.col("fact_eur"), F.coalesce("car_eur", "age_eur"), PRICE_SCALES | rates_here, 0.55),
         }
     )
-    # a whole channel that is off by a known conversion explains its rows without any reference of their own
-    for field, name in (("power_kw", "power_kw"), ("price", "field_eur")):
-        channel = F.exp(snap(F.col(f"{name}_channel"), POWER_KW_UNITS if field == "power_kw" else PRICE_SCALES, 0.02))
-        unreferenced = F.col("fact_kw" if field == "power_kw" else "fact_eur").isNull() & (F.coalesce("car_kw", "engine_kw") if field == "power_kw" else F.coalesce("car_eur", "age_eur")).isNull()
-        out = out.withColumn(f"{field}_factor", F.when(unreferenced & F.col(f"{field}_factor").isNotNull() & channel.isNotNull(), channel).otherwise(F.col(f"{field}_factor")))
     std_kw = F.coalesce(F.try_divide(kw, F.col("power_kw_factor")), kw_ref, F.try_divide(hp, F.col("power_hp_factor")) / HP_PER_KW)
     return out.select(
         "raw_id",
@@ -172,7 +182,7 @@ def _observations(rows: DataFrame, field: str, fact: str) -> DataFrame:
 
 
 def wrong_units(conversions: DataFrame) -> DataFrame:
-    """(raw_id, field): the numbers that aren't what their field says; rounding within 1.5 % isn't a case."""
+    """(raw_id, field): the numbers whose unit isn't their field's, however close; each unit has its own factor."""
     fields = ("power_kw", "power_hp", "price")
     off = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"{f}_factor").alias("factor")) for f in fields))).alias("c")
-    return conversions.select("raw_id", off).where(F.abs(F.ln("c.factor")) > 0.015).select("raw_id", "c.field").distinct()
+    return conversions.select("raw_id", off).where(F.col("c.factor") != 1.0).select("raw_id", "c.field").distinct()

@@ -43,6 +43,25 @@ def test_units_empty(spark):
     assert units.wrong_units(units.converted(raw(spark, []), rates(spark))).count() == 0
 
 
+def test_units_of_a_whole_site(spark):
+    rows = [{"url": f"https://kw.example/auto/mk-m{i}/20-{1000000 + i}.html", "power_hp": 60 + i, "description": f"Leistung {60 + i} kW."} for i in range(6)]
+    rows += [{"url": f"https://kw.example/auto/mk-x{i}/20-{2000000 + i}.html", "power_hp": 91 + i, "description": None} for i in range(3)]
+    rows += [{"url": "https://ok.example/auto/mk-x9/20-3000000.html", "power_hp": 91, "description": None}]
+    rows += [{"power_hp": 200, "description": "power 200 bhp"}, {"power_hp": 203, "description": "power 200 bhp"}]  # British horsepower in a field of metric ones
+    out = units.converted(raw(spark, rows), rates(spark))
+    assert {tuple(r) for r in units.wrong_units(out).collect()} == {(i, "power_hp") for i in (*range(9), 10)}
+    assert {r["raw_id"]: r["power_hp"] for r in out.collect()}[6] == pytest.approx(91 * 1.35962, abs=0.1)
+
+
+def test_channel_offsets_add_up(spark):
+    rows = []
+    for e in range(9):
+        v = 100.0 + 10 * e
+        rows += [(f"a{e}", "text", v), (f"a{e}", "site1", v * 1000 + 7000), (f"b{e}", "site1", v * 1000 + 7000), (f"b{e}", "site2", v)]
+    out = {r["channel"]: r for r in units.channel_scales(spark.createDataFrame(rows, "entity string, channel string, value double"), units.POWER_KW_UNITS, tolerance=0.06).collect()}
+    assert out["site1"]["offset"] == pytest.approx(7000) and out["site2"]["offset"] == pytest.approx(0.0, abs=1e-6)
+
+
 def test_channel_scales_walk_the_graph(spark):
     rows = []
     for e in range(6):
