@@ -198,3 +198,12 @@ def wrong_labels(hits: DataFrame, listings: DataFrame, documents: DataFrame) ->
     label = F.split("kind", r"\|")[1]
     right = (F.split("kind", r"\|")[0] == "hit") & (F.size("langs") == 1) & F.array_contains("langs", label)
     return found.where(~right).select(F.split("kind", r"\|")[0].alias("record_type"), F.col("id").alias("record_id"), F.explode("langs").alias("lang")).distinct()
+
+
+def text_segments(hits: DataFrame, listings: DataFrame, classifier: Classifier | dict[str, bytes]) -> DataFrame:
+    """(record_type, record_id, segment_no, lang, confidence): every segment of every snippet and description; an undecided segment has NULL and its confidence."""
+    texts = hits.select(F.lit("hit").alias("kind"), F.col("hit_id").alias("id"), F.col("snippet").alias("text"))
+    texts = texts.union(listings.select(F.lit("raw"), "raw_id", "description"))
+    found = segment_languages(with_canonical_keep_lines(texts), classifier)
+    rows = found.select(F.col("kind").alias("record_type"), F.col("id").alias("record_id"), F.posexplode("segments").alias("segment_no", "s"))
+    return rows.select("record_type", "record_id", "segment_no", "s.lang", "s.confidence")

@@ -123,10 +123,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_segments(spark: SparkSession, d: str) -> DataFrame:
-    """Language and confidence of every segment of every snippet."""
-    texts = table(spark, d, "search_hits").select(F.lit("hit").alias("kind"), F.col("hit_id").alias("id"), F.col("snippet").alias("text"))
-    found = language.segment_languages(language.with_canonical_keep_lines(texts), language.learned(table(spark, d, "documents")))
-    return found.select("id", F.posexplode("segments").alias("segment_no", "s")).select("id", "segment_no", "s.lang", "s.confidence")
+    return language.text_segments(table(spark, d, "search_hits"), table(spark, d, "raw_listings"), language.learned(table(spark, d, "documents")))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

@@ -135,6 +135,16 @@ def test_languages(spark):
     assert language.segment_languages(texts, language.Classifier({})).where("size(langs) > 0").count() == 0
 
 
+def test_segments_of_snippets_and_descriptions(spark):
+    docs = [(t + " " + u, x) for x, ss in SENTENCES.items() for t in ss for u in ss]
+    c = language.learned(spark.createDataFrame(docs, "text string, lang string"))
+    hits = spark.createDataFrame([(1, SENTENCES["en"][2]), (2, None)], "hit_id long, snippet string")
+    listings = spark.createDataFrame([(1, SENTENCES["de"][0] + " " + SENTENCES["fr"][1]), (3, None)], "raw_id long, description string")
+    got = language.text_segments(hits, listings, c).collect()
+    assert {(r["record_type"], r["record_id"], r["segment_no"], r["lang"]) for r in got} == {("hit", 1, 0, "en"), ("raw", 1, 0, "de"), ("raw", 1, 1, "fr")}
+    assert all(0 < r["confidence"] <= 1 for r in got)
+
+
 def test_label_codes(spark):
     df = spark.createDataFrame([(x,) for x in ("de", "DE", "de_AT", "en-GB", "fra", "und", "", None, " NL ")], "x string")
     assert [r[0] for r in df.select(language.label_code(F.col("x"))).collect()] == ["de", "de", "de", "en", "fr", None, None, None, "nl"]
