@@ -92,7 +92,10 @@ def train(texts: list[str], labels: list[int], common: set[str] | frozenset[str]
     Only some window of a positive document is the positive one: at first the one
     with the rarest words (``common`` holds the words of the corpus' everyday
     sentences) and most telling ones, later the one the network finds. Every
-    epoch sees at most ``negatives`` windows of negative documents, most of them of rare words. Positives whose
+    epoch sees at most ``negatives`` windows of negative documents, most of them of rare words. Words that
+    the labels show to stand in abuse are no everyday words, however frequent.
+    Positives of nothing but everyday sentences wait until the network finds
+    them, or take part at once where there are no others. Positives whose
     best window stays unlikely, and near-certain windows of negatives, are taken
     as labelling mistakes and left out. Without both labels a classifier that
     finds nothing is returned.
@@ -107,17 +110,17 @@ def train(texts: list[str], labels: list[int], common: set[str] | frozenset[str]
     if not y.any() or y.all():
         return model, 2.0
     lift = _lift(docs, y)
+    held = Counter(x for ws in {t: d for t, d, v in zip(texts, docs, y, strict=True) if v}.values() for x in {z for w in ws for z in w})
+    common = {w for w in common if held[w] < 5 or lift[w] < math.log(4)}
     benign = Counter(w for d, v in zip(docs, y, strict=True) if not v for w in set(d))
     unusual = sorted(w for w in benign if rarity(w, common) >= 0.2)
     everyday = sorted((w for w in benign if rarity(w, common) < 0.2), key=lambda w: (-benign[w], w))
     hard: list[tuple[str, ...]] = []  # negatives that the network still takes for positives
-    # a positive of nothing but everyday sentences is a labelling mistake
-    positive_docs = [[w for w in d if rarity(w, common) >= 0.25] for d, v in zip(docs, y, strict=True) if v]
-    positive_docs = [d for d in positive_docs if d]
-    if not positive_docs:
-        return model, 2.0
+    positive_docs = [d for d, v in zip(docs, y, strict=True) if v]
     prior = [[2 * rarity(w, common) + sum(sorted((lift.get(x, 0.0) for x in w), reverse=True)[:3]) / 9 - 0.5 * min(3, benign[w]) for w in d] for d in positive_docs]
-    rank, trust, doubtful, state = prior, np.ones(len(positive_docs)), set(), {}
+    plain = np.array([all(rarity(w, common) < 0.25 for w in d) for d in positive_docs])
+    least = np.where(plain & ~plain.all(), 0.6, 0.3)  # the score from which a positive is believed
+    rank, trust, doubtful, state = prior, (least < 0.6).astype(float), set(), {}
     for epoch in range(epochs):
         chosen = [d[int(np.argmax(r))] for d, r in zip(positive_docs, rank, strict=True)]
         pos = [w for w, t in zip(chosen, trust, strict=True) if t > 0]
@@ -140,7 +143,7 @@ def train(texts: list[str], labels: list[int], common: set[str] | frozenset[str]
             pool = everyday[:8000]
             hard = [w for w, sc in zip(pool, model.score([list(w) for w in pool]), strict=True) if sc > 0.2][:800]
             if epoch >= 8:
-                trust = np.array([1.0 if sc.max() > 0.3 else 0.0 for sc in scores])
+                trust = np.array([1.0 if sc.max() > z else 0.0 for sc, z in zip(scores, least, strict=True)])
                 worst = model.score([list(w) for w in unusual])
                 doubtful = {w for w, sc in zip(unusual, worst, strict=True) if sc > 0.8 and benign[w] <= 2}
                 hard += [w for w, sc in zip(unusual, worst, strict=True) if sc > 0.2 and w not in doubtful][:800]
@@ -172,13 +175,13 @@ def with_canonical_lines(df: DataFrame) -> DataFrame:
 
 
 def common_words(documents: DataFrame, least_share: float = 0.003) -> set[str]:
-    """Words that at least ``least_share`` of all documents use. There can be no more of them than the mean number of distinct words a document divided by that share, whatever the corpus."""
+    """Words that at least ``least_share`` of all distinct texts use. There can be no more of them than the mean number of distinct words a document divided by that share, whatever the corpus."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = Counter(x for t in batch.column(0).to_pylist() for x in {z for w in windows_of(t) for z in w})
             yield pa.RecordBatch.from_arrays([pa.array(["", *n], pa.string()), pa.array([batch.num_rows, *n.values()], pa.int64())], names=["word", "n"])
 
-    counts = with_canonical_lines(documents.select("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = with_canonical_lines(documents.select("text").distinct()).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = cut(counts)
     total = counts.where("word = ''").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return {r["word"] for r in counts.where((F.col("word") != "") & (F.col("n") >= max(2, least_share * total))).select("word").collect()}

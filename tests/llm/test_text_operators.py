@@ -258,6 +258,17 @@ def test_abuse_on_held_out_documents():
     assert sum(a == b for a, b in zip(best, want, strict=True)) >= 95
 
 
+def test_frequent_abuse_is_learned(spark):
+    texts, labels = abusive_corpus(300, 1)
+    every = {w for t in texts for d in abuse.windows_of(t) for w in d}
+    model, threshold = abuse.train(texts, labels, every, epochs=12)
+    held, truth = abusive_corpus(100, 2)
+    best = [max(model.score([list(w) for w in abuse.windows_of(t)])) >= threshold for t in held]
+    assert sum(a == (i % 5 == 0) for i, a in enumerate(best)) >= 95
+    copies = spark.createDataFrame([(f"the car number{i} runs",) for i in range(50)] + [("you blockhead",)] * 25, "text string")
+    assert "blockhead" not in abuse.common_words(copies) and "car" in abuse.common_words(copies)
+
+
 def test_spelling_tricks():
     assert abuse.plain_words("d.i.e.v.e.n b@$ur@ Schwwwwachkopf i****t 66kW") == ["dieven", "basura", "schwachkopf", "i****t", "0"]
     assert abuse.windows_of(None) == abuse.windows_of("") == []
