@@ -71,7 +71,7 @@ def near_hashes(rows: DataFrame, key: str, hash_column: str, most: int = 8, chun
 
     Two hashes that differ in at most 8 bits agree on at least one of 9 chunks, so
     equal (chunk number, chunk) blocks hold all pairs; equal hashes are folded
-    first and stand for each other.
+    first and stand for each other: ``hash_members`` says for whom.
     """
     one = rows.groupBy(hash_column).agg(F.min(key).alias(key)).withColumn("v", F.conv(hash_column, 16, -10).cast("long"))
     width = [8 if i == 0 else 7 for i in range(chunks)]
@@ -81,3 +81,9 @@ def near_hashes(rows: DataFrame, key: str, hash_column: str, most: int = 8, chun
     x, y = blocks.select(F.col(key).alias("a"), F.col("v").alias("va"), "i", "c"), blocks.select(F.col(key).alias("b"), F.col("v").alias("vb"), "i", "c")
     distance: Column = F.bit_count(F.col("va").bitwiseXOR(F.col("vb")))
     return x.join(y, ["i", "c"]).where((F.col("a") < F.col("b")) & (distance <= most)).select("a", "b", distance.cast("long").alias("distance")).distinct()
+
+
+def hash_members(rows: DataFrame, key: str, hash_column: str) -> DataFrame:
+    """(key, representative): every row with a hash and the smallest key of equal hashes, which stands for it in ``near_hashes``; members of one representative are at distance 0."""
+    one = rows.groupBy(hash_column).agg(F.min(key).alias("representative"))
+    return rows.join(one, hash_column).select(key, "representative").distinct()

@@ -204,6 +204,17 @@ def jn12(s, d):
     return dedup.near_hashes(h.select("vec_id", "hash").union(h.where("vec_id % 12 > 0").select(F.col("vec_id") + 1_000_000, "copy")), "vec_id", "hash")
 
 
+# a third of the rows share the hash of vec_id 0: copies under new ids
+@query(
+    "jn12_hash_members",
+    """SELECT vec_id, vec_id AS representative FROM embeddings UNION ALL SELECT vec_id + 2000000, (SELECT min(vec_id) FROM embeddings) FROM embeddings WHERE vec_id % 2 = 0""",
+)
+def jn12_members(s, d):
+    h = hashes(s, d).select("vec_id", "hash")
+    first = h.agg(F.min_by("hash", "vec_id").alias("hash"))
+    return dedup.hash_members(h.union(h.where("vec_id % 2 = 0").select(F.col("vec_id") + 2_000_000).crossJoin(F.broadcast(first))), "vec_id", "hash")
+
+
 @query("so02_newest_listings", "SELECT listing_id, first_seen_at FROM listings ORDER BY first_seen_at DESC, listing_id DESC LIMIT 200")
 def so02(s, d):
     return table(s, d, "listings").orderBy(F.desc_nulls_last("first_seen_at"), F.desc("listing_id")).limit(200).select("listing_id", "first_seen_at")

@@ -121,3 +121,17 @@ def test_core_needs_no_training_text_package():
 
     code = "import sys; sys.modules['lotwise.llm'] = None; import __spark_entry__ as e; assert 'p7_found' in e.queries() and 'p1_found' not in e.queries()"
     assert subprocess.run([sys.executable, "-c", code], cwd=str(__import__("pathlib").Path(__file__).resolve().parents[1])).returncode == 0
+
+
+def test_near_hashes_with_members_equal_brute_force(spark):
+    numbers = [0x0F0F] * 7 + [0x0F0E, 0x0F0E, 0xFFFF_FFFF_FFFF_0F0F, 0x0FFF] + [(0x9E3779B97F4A7C15 * k) % 2**63 for k in range(1, 10)]
+    rows = spark.createDataFrame([(i, f"{v:016x}") for i, v in enumerate(numbers)], "id long, hash string")
+    members = {}
+    for r in dedup.hash_members(rows, "id", "hash").collect():
+        members.setdefault(r["representative"], []).append(r["id"])
+    assert sorted(x for m in members.values() for x in m) == list(range(len(numbers)))
+    got = {(a, b, 0) for m in members.values() for a in m for b in m if a < b}
+    for r in dedup.near_hashes(rows, "id", "hash").collect():
+        got |= {(min(a, b), max(a, b), r["distance"]) for a in members[r["a"]] for b in members[r["b"]]}
+    want = {(a, b, (x ^ y).bit_count()) for a, x in enumerate(numbers) for b, y in enumerate(numbers) if a < b and (x ^ y).bit_count() <= 8}
+    assert got == want
