@@ -103,7 +103,7 @@ def p3_main_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_templates(spark: SparkSession, d: str) -> DataFrame:
-    return pages.host_templates(pages.token_evidence(pages.page_records(table(spark, d, "fetch_results"), table(spark, d, "raw_listings"))))
+    return pages.host_templates(table(spark, d, "fetch_results"), table(spark, d, "raw_listings"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
