@@ -43,6 +43,8 @@ _SPLIT = re.compile(r" \| | / | > | · | - | {3,}")
 _NUMBER = re.compile(r"\d+(?:[.,'’ ]\d+)*")
 _HOST = re.compile(r"\b[\w\-]+(?:\.[\w\-]+)*\.[a-z]{2,}\b")
 _TRAIL = re.compile(r"\s*(?:\[\d+\]|\((?:Ref|ID|Nr|#)?\.?\s?[A-Z0-9]{4,}\))$")
+_DIGIT = re.compile(r"\d")
+_ALNUM = re.compile(r"[^\W_]")
 _WORD = re.compile(r"[^\W\d_]{2,}")
 _AFTER_NUMBER = re.compile(r"(?<=0 )[^\W\d_]+|(?<=0)[^\W\d_]+|[^\W\d_]+")
 _LANDMARK = re.compile(r"<(/?)(article|main|nav|aside|footer|header)\b", re.I)
@@ -90,7 +92,7 @@ def key_of(text: str) -> int:
 def _token(item: str) -> int:
     """64-bit token of an item: lower case, numbers as 0, hosts as @; items of several numbers keep only their shape."""
     item = item.lower()
-    if any(c.isdigit() for c in item):
+    if _DIGIT.search(item):
         if "." in item:
             item = _HOST.sub("@", item)
         masked, n = _NUMBER.subn("0", item)
@@ -121,9 +123,12 @@ def is_unset(line: str) -> bool:
 
 def repeats_itself(line: str) -> bool:
     """Filler that needs no dictionary: one word over and over, or signs only."""
-    words = [w.lower() for w in _WORD.findall(line)]
-    if not words:
-        return bool(line) and not any(c.isalnum() for c in line)
+    if not _ALNUM.search(line):
+        return bool(line)
+    parts = line.lower().split()
+    if len(parts) < 3 or len(set(parts)) > 2:  # a repeated word, and the same with its full stop
+        return False
+    words = _WORD.findall(line.lower())
     return len(words) >= 3 and len(set(words)) == 1
 
 
@@ -150,8 +155,8 @@ def slot_of(line: str) -> tuple[int, int] | None:
             label, value = m[1].strip().lower(), (m[2] or "").strip()
     if label is None and not line.endswith((".", "!", "?", "…")):
         numbers = _NUMBER.findall(line)
-        words = _NUMBER.sub(" ", line).lower().split()
-        if len(numbers) <= 1 and any(w.strip(".,-") in UNITS for w in words) and any(w.strip(".,-") not in UNITS and any(c.isalpha() for c in w) for w in words):
+        words = _NUMBER.sub(" ", line).lower().split() if len(numbers) <= 1 else ()
+        if words and any(w.strip(".,-") in UNITS for w in words) and any(w.strip(".,-") not in UNITS and any(c.isalpha() for c in w) for w in words):
             label, value = "\x1f" + " ".join(w for w in words if any(c.isalpha() for c in w) or w in UNITS), numbers[0] if numbers else ""
             if not numbers:
                 return key_of(label), _BARE_UNIT
@@ -428,17 +433,18 @@ def class_roles(tokens: DataFrame) -> DataFrame:
 
 
 def template_tokens(evidence: DataFrame) -> DataFrame:
-    """(host, token, n, vector, outside, role, from_host, contentless): the role that each token takes from its class, on its own host or, where that is open, from the majority of its classes on others.
+    """(host, token, n, vector, outside, role, from_host, contentless): the role that each token of several pages takes from its class, on its own host or, where that is open, from the majority of its classes on others.
 
     contentless: lines in place of content that recur at several addresses and
     mostly on pages which don't show their title.
     """
-    tokens = token_classes(evidence)
-    t = tokens.join(class_roles(tokens).select("host", "vector", "role"), ["host", "vector"])
-    every = t.groupBy("token").agg(
-        F.signum(F.sum(F.col("role") * F.least("n", F.lit(9)))).cast("int").alias("elsewhere"), F.sum("bare").alias("bare"), F.sum("headed").alias("headed"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
-    )
-    t = t.select("host", "token", "n", "role", "vector", "outside").join(every, "token")
+    tokens = cut(token_classes(evidence))
+    # tokens of a single page prove nothing about others; their classes have counted them
+    every = tokens.groupBy("token").agg(*[F.sum(c).alias(c) for c in ("n", "bare", "headed")], F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("n > 1").drop("n")
+    t = tokens.select("host", "token", "n", "vector", "outside").join(every, "token").join(class_roles(tokens).select("host", "vector", "role"), ["host", "vector"])
+    t = cut(t)
+    vote = t.groupBy("token").agg(F.signum(F.sum(F.col("role") * F.least("n", F.lit(9)))).cast("int").alias("elsewhere"))
+    t = t.join(vote, "token")
     contentless = (F.col("lo") < F.col("hi")) & (F.col("bare") >= F.col("headed")) & (F.col("bare") > 0)
     return t.select("host", "token", "n", "vector", "outside", F.when(F.col("role") != 0, F.col("role")).otherwise(F.col("elsewhere")).alias("role"), (F.col("role") != 0).alias("from_host"), contentless.alias("contentless"))
 
@@ -560,7 +566,7 @@ def labelled_pages(fetched: DataFrame, listings: DataFrame, most_sent: int = 2_0
 
 def label(pages: DataFrame, evidence: DataFrame, most_sent: int = 2_000_000) -> DataFrame:
     """Second half of ``labelled_pages``: from pages as read and their evidence."""
-    pages, sent_roles = _with_roles(pages, template_tokens(evidence), most_sent)
+    pages, sent_roles = _with_roles(pages, cut(template_tokens(evidence)), most_sent)
     pages, sent_words = _with_words(pages, evidence.where("host = '' AND n >= 2").select("token"), most_sent)
     pages, holds = _with_slots(pages, induced_slots(evidence).where("holds > 0"), most_sent)
     shared = pages.sparkSession.sparkContext.broadcast((sent_roles, sent_words, holds))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lotwise.functions.facts import advert_key, currency_code, litres, model_slug, with_facts
 from lotwise.llm.characters import with_canonical
+from lotwise.operators.dedup import clusters
 from lotwise.session import cut
 
 #: Levels of each compared field, best first; "unknown" carries no weight.
@@ -120,21 +121,6 @@ def fit_weights(patterns: list[dict], rounds: int = 200) -> tuple[dict[str, dict
     return {f: {x: (0.0 if x == "unknown" else float(np.log(m[f][i] / u[f][i]))) for i, x in enumerate(FIELDS[f])} for f in names}, math.log(prior / (1 - prior))
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
-    """(node, component) of an undirected edge list: smallest reachable node, by min-label steps with pointer jumping; written to the checkpoint folder each round."""
-    both = cut(edges.select(F.col(a).alias("s"), F.col(b).alias("t")).union(edges.select(b, a)).where("s <> t").distinct())
-    labels = cut(both.groupBy("s").agg(F.min("t").alias("m")).select(F.col("s").alias("node"), F.least("s", "m").alias("label")))
-    for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("node", "t"), "t").groupBy("s").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels["node"] == near["s"]).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = cut(step.join(jump, "label", "left").select("node", "old", F.coalesce(F.least("label", "further"), "label").alias("label")))
-        labels = new.select("node", "label")
-        if new.where("old <> label").isEmpty():
-            break
-    return labels.select("node", F.col("label").alias("component"))
-
-
 def same_item_groups(raw: DataFrame, rates: DataFrame, threshold: float = 0.9) -> DataFrame:
     """(raw_id, item_id): every row of ``raw`` once; item_id is the smallest raw_id of its group.
 
@@ -171,7 +157,7 @@ def same_item_groups(raw: DataFrame, rates: DataFrame, threshold: float = 0.9) -
         links = pairs.where((score >= math.log(threshold / (1 - threshold))) & ~contradicted).select("a", "b")
     else:
         links = pairs.select("a", "b")
-    groups = components(links)
+    groups = clusters(links).withColumnRenamed("cluster", "component")
     sid = adverts.join(sig.select("sig", "sid"), "sig").join(groups.select(F.col("node").alias("sid"), "component"), "sid", "left")
     named = sid.select("advert", F.coalesce("component", "sid").alias("item_id"))
     return rows.select("raw_id", "advert").join(named, "advert").select("raw_id", "item_id")
