@@ -3,7 +3,11 @@
 A fact is a short segment between separators (full stop, comma, semicolon, bar,
 line end): "Kilometerstand 224 000km", "asking 9,440 GBP". Numbers inside whole
 sentences ("not more than 7000 Euro for one like that") aren't facts and are not
-taken. All functions give NULL for NULL or empty text and for text without the fact.
+taken: around its number and unit a price or mileage has a lead and a tail of the
+few words that the patterns allow (24 and 18 characters), a power may stand
+anywhere. Segments and texts may be of any length. All functions give NULL for NULL
+or empty text and for text without the fact. Phrases of places and the like are
+those of eight languages; facts phrased otherwise aren't read.
 """
 
 from __future__ import annotations
@@ -71,14 +75,11 @@ def read_facts(text: str | None, page: str | None = None) -> tuple:
     kw = hp = km = rough = amount = currency = year = place = None
     for seg in _SEPARATOR.split(text) if text and text.strip() else _LINE_SEPARATOR.split((page or "").strip()):
         seg = seg.strip()
-        size = len(seg)
-        if size > 90 or size < 4:
-            continue
         if not _DIGIT.search(seg):
-            if place is None and size < 48 and (m := _PLACE.match(seg)) and m.end() == size:
+            if place is None and (m := _PLACE.fullmatch(seg)):
                 place = m[1].lower()
             continue
-        if (kw is None or hp is None) and size < 60 and _POWER_UNIT.search(seg):
+        if (kw is None or hp is None) and _POWER_UNIT.search(seg):
             for m in _POWER.finditer(seg):
                 n, unit = float(m[1]), m[2]
                 if unit in ("kW", "KW"):
@@ -87,7 +88,7 @@ def read_facts(text: str | None, page: str | None = None) -> tuple:
                     kw = kw or (n / 1000 if n >= 1000 else None)
                 elif n < 1000:
                     hp = hp or n * (BHP_TO_HP if unit == "bhp" else 1)
-        money = amount is None and size < 64 and _MONEY.search(seg)
+        money = amount is None and _MONEY.search(seg)
         if money and (m := _PRICE.fullmatch(seg)):
             amount = read_number(m["n1"] or m["n2"])
             currency = CURRENCY_CODES.get((m["c1"] or m["c2"]).lower())
@@ -97,13 +98,13 @@ def read_facts(text: str | None, page: str | None = None) -> tuple:
         if money and "TEUR" in seg and (m := _THOUSANDS.fullmatch(seg)):
             amount, currency = (read_number(m[1]) or 0) * 1000, "EUR"
             continue
-        if km is None and size < 64 and (m := _MILEAGE.fullmatch(seg)) and not _ROUGHLY.search(seg):
+        if km is None and (m := _MILEAGE.fullmatch(seg)) and not _ROUGHLY.search(seg):
             n = read_number(m[1])
             km = n and n * (1000 if m[2] == "tkm" else KM_PER_MILE if m[2][:2] == "mi" else 1)
             continue
         if rough is None and (m := _ROUGH.search(seg)):
             rough = read_number(m[1])
-        if year is None and size < 48 and (m := _YEAR.fullmatch(seg)) and not _COMPARING.search(seg):
+        if year is None and (m := _YEAR.fullmatch(seg)) and not _COMPARING.search(seg):
             year = int(m[1])
     return kw or (hp and hp / HP_PER_KW), km, rough, amount, currency, year, place
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -21,6 +22,10 @@ DETAIL_PARTS = (
 TRACKING = r"^(utm_|fbclid|gclid|mc_|ref$|source$)"
 
 
+_PATH = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://)?[^/?#]*([^?#]*)"
+_QUERY = r"^[^?#]*\?([^#]*)"
+
+
 def _part(url: Column, pattern: str) -> Column:
     return F.regexp_extract(F.trim(url), pattern, 1)
 
@@ -40,11 +45,11 @@ def domain(url: Column) -> Column:
 
 
 def path(url: Column) -> Column:
-    return _part(url, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://)?[^/?#]*([^?#]*)")
+    return _part(url, _PATH)
 
 
 def query(url: Column) -> Column:
-    return _part(url, r"^[^?#]*\?([^#]*)")
+    return _part(url, _QUERY)
 
 
 def fragment(url: Column) -> Column:
@@ -52,9 +57,14 @@ def fragment(url: Column) -> Column:
 
 
 def normalize(url: Column) -> Column:
-    """FN-U03: host lower case without ``www.``; tracking and blank parameters dropped, the rest sorted; no fragment, no trailing slash; an empty path is '/'. Empty text stays as it is."""
-    pairs = F.filter(F.split(query(url), "&"), lambda kv: kv.rlike(r"^[^=]+=.+") & ~F.lower(F.regexp_extract(kv, r"^([^=]*)", 1)).rlike(TRACKING))
-    kept = F.array_join(F.array_sort(pairs), "&")
+    """FN-U03: host lower case without ``www.``; tracking and blank parameters dropped, the rest decoded, sorted by key and value and encoded anew; no fragment, no trailing slash; an empty path is '/'. Empty text stays as it is, and so does a query whose escapes can't be decoded."""
+    pairs = F.filter(F.split(query(url), "&"), lambda kv: kv.rlike(r"^[^=]+=.+"))
+    # names are compared decoded; url_encode writes a space as + and keeps letters, digits and .-*_ (a tilde is kept, a star encoded, as in form encoding of URLs)
+    plain = lambda x: F.coalesce(F.try_url_decode(x), x)
+    code = lambda x: F.replace(F.replace(F.url_encode(x), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
+    named = F.transform(pairs, lambda kv: F.struct(plain(F.regexp_extract(kv, r"^([^=]*)", 1)).alias("k"), plain(F.regexp_extract(kv, r"^[^=]*=(.*)$", 1)).alias("v")))
+    chosen = F.array_sort(F.filter(named, lambda x: ~F.lower(x["k"]).rlike(TRACKING)))
+    kept = F.array_join(F.transform(chosen, lambda x: F.concat(code(x["k"]), F.lit("="), code(x["v"]))), "&")
     p = F.regexp_replace(F.regexp_replace(path(url), r";[^/]*$", ""), r"/+$", "")
     whole = F.concat(scheme(url), F.lit("://"), netloc(url), F.when(p == "", "/").otherwise(p), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))
     return F.when(F.trim(url) == "", url).otherwise(whole)
@@ -69,25 +79,47 @@ def _contains_any(c: Column, parts: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, [c.contains(p) for p in parts])
 
 
-def quality(url: Column) -> Column:
-    """FN-U07: EXACT_DETAIL, LIKELY_DETAIL, SEARCH_PAGE, HOMEPAGE or UNKNOWN; search signs win over detail signs."""
+#: Kinds of pages as a table: the first line that holds decides. A line is (kind, all or any of the tests, tests); a test is (part, relation, values). ``quality`` and ``kind_of`` both read it.
+PAGE_RULES = (
+    ("HOMEPAGE", all, (("path", "is", ("",)), ("query", "is", ("",)))),
+    ("SEARCH_PAGE", any, (("keys", "has", SEARCH_KEYS), ("url", "contains", ("#q:",)), ("folder", "is", STOCK_PATHS), ("closed", "contains", SEARCH_PARTS), ("closed", "matches", (r"/(?:fahrzeuge|gebrauchtwagen|auto)/$",)))),
+    ("EXACT_DETAIL", any, (("closed", "contains", DETAIL_PARTS), ("path", "matches", (r"\d{5,}",)))),
+    # a slug behind a folder, or three folders deep
+    ("LIKELY_DETAIL", any, (("path", "matches", (r"[^/]/+[^/]*-[^/]*$", r"[^/]/+[^/]{13,}$", r"[^/]+/+[^/]+/+[^/]+")),)),
+)
+
+
+def _parts(url: Column) -> dict[str, Column]:
     p = F.regexp_replace(path(url), r"/+$", "")
-    low = F.concat(F.lit("/"), F.regexp_replace(F.lower(p), r"^/+|/+$", ""))
-    closed = F.concat(low, F.lit("/"))
+    folder = F.concat(F.lit("/"), F.regexp_replace(F.lower(p), r"^/+|/+$", ""))
     keys = F.transform(F.filter(F.split(F.lower(query(url)), "&"), lambda kv: kv.rlike(r"^[^=]+=.+")), lambda kv: F.regexp_extract(kv, r"^([^=]*)", 1))
-    searched = F.arrays_overlap(keys, F.array(*[F.lit(k) for k in SEARCH_KEYS])) | F.lower(url).contains("#q:") | low.isin(*STOCK_PATHS) | _contains_any(closed, SEARCH_PARTS)
-    segments = F.filter(F.split(p, "/"), lambda s: s != "")
-    last = F.get(segments, F.size(segments) - 1)
-    slug = (F.size(segments) >= 2) & (last.contains("-") | (F.length(last) > 12))
-    return (
-        F.when(url.isNull() | (F.trim(url) == ""), "UNKNOWN")
-        .when((p == "") & (query(url) == ""), "HOMEPAGE")
-        .when(searched, "SEARCH_PAGE")
-        .when(_contains_any(closed, DETAIL_PARTS), F.when(closed.rlike(r"/(fahrzeuge|gebrauchtwagen|auto)/$"), "SEARCH_PAGE").otherwise("EXACT_DETAIL"))
-        .when(p.rlike(r"\d{5,}"), "EXACT_DETAIL")
-        .when(slug | (F.size(segments) >= 3), "LIKELY_DETAIL")
-        .otherwise("UNKNOWN")
-    )
+    return {"url": F.lower(url), "path": p, "query": query(url), "keys": keys, "folder": folder, "closed": F.concat(folder, F.lit("/"))}
+
+
+def quality(url: Column) -> Column:
+    """FN-U07: EXACT_DETAIL, LIKELY_DETAIL, SEARCH_PAGE, HOMEPAGE or UNKNOWN by PAGE_RULES; search signs win over detail signs. NULL and '' are UNKNOWN."""
+    part = _parts(url)
+    relation = {
+        "is": lambda c, vs: c.isin(*vs), "has": lambda c, vs: F.arrays_overlap(c, F.array(*[F.lit(v) for v in vs])), "contains": _contains_any,
+        "matches": lambda c, vs: reduce(lambda a, b: a | b, [c.rlike(v) for v in vs]),
+    }
+    out = F.when(url.isNull() | (F.trim(url) == ""), "UNKNOWN")
+    for kind, how, tests in PAGE_RULES:
+        out = out.when(reduce((lambda a, b: a & b) if how is all else (lambda a, b: a | b), [relation[r](part[p], vs) for p, r, vs in tests]), kind)
+    return out.otherwise("UNKNOWN")
+
+
+def kind_of(url: str | None) -> str:
+    """``quality`` of one URL outside of Spark, for links met while a page's tree is walked."""
+    whole = (url or "").strip()
+    if not whole:
+        return "UNKNOWN"
+    p = re.search(_PATH, whole)[1].rstrip("/")
+    q = (re.search(_QUERY, whole) or ("", ""))[1]
+    folder = "/" + p.lower().strip("/")
+    part = {"url": whole.lower(), "path": p, "query": q, "keys": {kv.split("=")[0] for kv in q.lower().split("&") if re.match(r"[^=]+=.", kv)}, "folder": folder, "closed": folder + "/"}
+    relation = {"is": lambda x, vs: x in vs, "has": lambda x, vs: any(v in x for v in vs), "contains": lambda x, vs: any(v in x for v in vs), "matches": lambda x, vs: any(re.search(v, x) for v in vs)}
+    return next((kind for kind, how, tests in PAGE_RULES if how(relation[r](part[p], vs) for p, r, vs in tests)), "UNKNOWN")
 
 
 def is_detail(url: Column) -> Column:

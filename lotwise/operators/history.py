@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import ROUND_HALF_EVEN, Decimal
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def _w(key: str, *order: str) -> Window:
@@ -49,11 +55,39 @@ def latest(obs: DataFrame, key: str, at: str, tie: str, values: list[str]) -> Da
     return obs.groupBy(key).agg(best).select(key, F.col(f"b.{at}").alias(at), *[F.col(f"b.{v}").alias(v) for v in values])
 
 
-def smoothed(log: DataFrame, key: str, at: str, tie: str, value: str, keep: float = 0.7, digits: int = 3) -> DataFrame:
-    """WN05, SC09: exponential average per key, rounded at each step, hence folded in order rather than written as a window. The rows of one key are gathered, with two numbers each."""
-    items = F.array_sort(F.collect_list(F.struct(at, tie, F.col(value).cast("double").alias("v"))))
-    fold = F.aggregate(items, F.lit(0.0), lambda a, x: F.bround((a * keep + x["v"] * (1 - keep)).cast("decimal(18,6)"), digits).cast("double"))
-    return log.where(F.col(value).isNotNull()).groupBy(key).agg(F.round(fold, digits).alias("average"), F.count(F.lit(1)).alias("n"))
+def smoothed(log: DataFrame, key: str, at: str, tie: str, value: str, keep: float = 0.7, digits: int = 3, start: float = 0.0) -> DataFrame:
+    """WN05, SC09: exponential average per key, rounded half to even at each step (0 digits: the typical result count), and the number of values; keys without a known value give no row.
+
+    Rounding at each step makes the fold sequential, but only the last steps
+    matter: with ``keep`` < 1 what came before the last few dozen values has faded
+    below half a unit of the rounding; all are folded nevertheless. Rows are sorted by Spark (on disk where a
+    key is large) and folded in Arrow batches with one number of state per key, so
+    no key's rows are gathered.
+    """
+    rows = log.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(at).alias("t"), F.col(tie).alias("i"), F.col(value).cast("double").alias("v"))
+    placed = rows.repartition("k").sortWithinPartitions("k", "t", "i").select("k", "v")
+    scale = Decimal(1).scaleb(-digits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, average, n = None, start, 0
+        for batch in batches:
+            done: list[tuple] = []
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if n and k != now:
+                    done.append((now, average, n))
+                    average, n = start, 0
+                now, n = k, n + 1
+                # six decimals first, as the arithmetic of binary fractions isn't exact
+                average = float(Decimal(f"{average * keep + v * (1 - keep):.6f}").quantize(scale, ROUND_HALF_EVEN))
+            yield _packed(done, batch.schema.field(0).type)
+        yield _packed([(now, average, n)] if n else [], batch.schema.field(0).type if n else None)
+
+    def _packed(done: list[tuple], kind: pa.DataType | None) -> pa.RecordBatch:
+        ks, vs, ns = zip(*done) if done else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(ks, kind or arrow_kind), pa.array(vs, pa.float64()), pa.array(ns, pa.int64())], names=[key, "average", "n"])
+
+    arrow_kind = to_arrow_type(rows.schema["k"].dataType)
+    return placed.mapInArrow(run, T.StructType([T.StructField(key, rows.schema["k"].dataType), T.StructField("average", T.DoubleType()), T.StructField("n", T.LongType())]))
 
 
 def monthly_counts(log: DataFrame, at: str, key: str, good: Column) -> DataFrame:

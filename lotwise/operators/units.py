@@ -1,19 +1,21 @@
 """P7: quantities recorded in different units, scales and currencies.
 
-Observations of the same entity from different channels (the number fields of
-each site, the units written in texts) are linked, each pair of channels gets a
-robust scale and offset, the scales are snapped to known conversions and
-propagated through the graph of channels, starting from the texts, whose units
-are explicit. Scale and offset of its channel are what a number is expected to
-show; what then still separates it from its entity's reference is snapped in the
-same way and tells the unit of that one number.
+Every number is an observation of an entity (its row, its advert, its car) by a
+channel: the number field of a site in one unit, or the texts, whose units are
+explicit. Channels that observe the same entities are linked, each pair gets a
+robust scale and offset, scales are snapped to known conversions and propagated
+through the graph of channels from the texts. A number's unit is that of its
+channel: which of its site's channels it belongs to is told by its ratio to the
+texts of its entity; numbers that no text reaches belong to a channel of their own,
+which other sites' numbers of the same cars tie to the graph.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.functions.facts import BHP_TO_HP, HP_PER_KW, advert_key, currency_code, litres, model_slug, with_facts
@@ -33,7 +35,13 @@ def snap(log_ratio: Column, known: dict[str, float], tolerance: float) -> Column
     return F.when(log_ratio.isNotNull() & (best.d <= tolerance), best.v)
 
 
-def channel_scales(observations: DataFrame, known: dict[str, float], anchor: str = TEXT_CHANNEL, tolerance: float = 0.02, min_links: int = 3, rounds: int = 6) -> DataFrame:
+def _snapped(d: Column, known: dict[str, tuple[dict[str, float], float]]) -> Column:
+    """``d`` at the known conversion of its field near to it, else as it is."""
+    by_field = F.coalesce(*[F.when(F.col("field") == f, snap(d, units, tolerance)) for f, (units, tolerance) in known.items()])
+    return F.coalesce(by_field, d)
+
+
+def channel_scales(observations: DataFrame, known: dict, anchor: str = TEXT_CHANNEL, tolerance: float = 0.02, min_links: int = 3, most_edges: int = 1_000_000) -> DataFrame:
     """(entity, channel, value) -> (channel, log_scale, offset, n_links, spread): how each channel's numbers relate to the anchor's unit: exp(log_scale) * value + offset.
 
     Each entity's channels are paired with one hub channel of that entity (the
@@ -41,51 +49,89 @@ def channel_scales(observations: DataFrame, known: dict[str, float], anchor: str
     never n squared. Pairs are reduced to medians; scales that are near a known
     conversion are snapped to it, others are kept as measured; an offset counts
     where both quartiles of what the scale leaves are on its side of zero. The
-    graph is walked outward from the anchor; spread is the widest range between
-    quartiles of the log ratio on the way. Channels without a path to the anchor, or
-    with fewer than ``min_links`` shared entities, are left out. Values that are
-    NULL or not positive and NULL entities are ignored.
+    graph is walked outward from the anchor over any number of hops; spread is the
+    widest range between quartiles of the log ratio on the way. Channels without a
+    path to the anchor, or with fewer than ``min_links`` shared entities, are left
+    out. Values that are NULL or not positive and NULL entities are ignored.
+
+    Observations of several fields carry a column field, which then comes first in
+    the result, and ``known`` is field -> (conversions, tolerance). Edges, of which
+    there are at most as many as linked pairs of channels, are walked on the driver
+    up to ``most_edges`` and by Spark beyond, with the same result.
     """
-    good = observations.where("entity IS NOT NULL AND channel IS NOT NULL AND value > 0")
-    per = good.groupBy("entity", "channel").agg(F.percentile_approx("value", 0.5, 1000).alias("value"))
-    hub = per.groupBy("entity").agg(F.min(F.struct((F.col("channel") != anchor).alias("later"), F.col("channel"), F.col("value"))).alias("h"))
-    hub = hub.select("entity", F.col("h.channel").alias("a"), F.col("h.value").alias("va"))
-    pairs = per.join(hub, "entity").where("channel <> a").select("a", F.col("channel").alias("b"), "va", F.col("value").alias("vb"), F.ln(F.try_divide(F.col("value"), F.col("va"))).alias("d"))
-    scale = pairs.groupBy("a", "b").agg(F.percentile_approx("d", [0.25, 0.5, 0.75], 1000).alias("q"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_links)
-    scale = scale.select("a", "b", F.col("q")[1].alias("d"), (F.col("q")[2] - F.col("q")[0]).alias("spread"), "n")
-    scale = scale.withColumn("d", F.coalesce(snap(F.col("d"), known, tolerance), F.col("d")))
-    offset = pairs.drop("d").join(scale, ["a", "b"]).groupBy("a", "b", "d", "spread", "n").agg(F.percentile_approx(F.col("vb") - F.exp("d") * F.col("va"), [0.25, 0.5, 0.75], 1000).alias("q"))
+    several = "field" in observations.columns
+    rules = known if several else {"": (known, tolerance)}
+    good = (observations if several else observations.withColumn("field", F.lit(""))).where("entity IS NOT NULL AND channel IS NOT NULL AND value > 0")
+    per = good.groupBy("field", "entity", "channel").agg(F.percentile_approx("value", 0.5, 1000).alias("value"))
+    hub = per.groupBy("field", "entity").agg(F.min(F.struct((F.col("channel") != anchor).alias("later"), F.col("channel"), F.col("value"))).alias("h"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    hub = hub.select("field", "entity", F.col("h.channel").alias("a"), F.col("h.value").alias("va"))
+    pairs = per.join(hub, ["field", "entity"]).where("channel <> a").select("field", "a", F.col("channel").alias("b"), "va", F.col("value").alias("vb"), F.ln(F.try_divide(F.col("value"), F.col("va"))).alias("d"))
+    pairs = cut(pairs)
+    scale = pairs.groupBy("field", "a", "b").agg(F.percentile_approx("d", [0.25, 0.5, 0.75], 1000).alias("q"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_links)
+    scale = scale.select("field", "a", "b", _snapped(F.col("q")[1], rules).alias("d"), (F.col("q")[2] - F.col("q")[0]).alias("spread"), "n")
+    offset = pairs.drop("d").join(scale, ["field", "a", "b"]).groupBy("field", "a", "b", "d", "spread", "n").agg(F.percentile_approx(F.col("vb") - F.exp("d") * F.col("va"), [0.25, 0.5, 0.75], 1000).alias("q"))
     offset = offset.withColumn("offset", F.when((F.col("q")[0] > 0) | (F.col("q")[2] < 0), F.col("q")[1]).otherwise(0.0))
-    edges = cut(offset.select("a", "b", "d", "offset", "spread", "n").union(offset.select("b", "a", -F.col("d"), -F.col("offset") * F.exp(-F.col("d")), "spread", "n")))
-    known_channels = observations.sparkSession.createDataFrame([(anchor, 0.0, 0.0, 0, 0.0)], "channel string, log_scale double, offset double, n_links long, spread double")
-    for _ in range(rounds):
-        step = edges.join(known_channels.select(F.col("channel").alias("a"), "log_scale", F.col("offset").alias("before"), F.col("spread").alias("widest")), "a").join(known_channels.select(F.col("channel").alias("b")), "b", "left_anti")
-        found = step.groupBy("b").agg(F.max(F.struct("n", "a", (F.col("log_scale") + F.col("d")).alias("s"), (F.exp("d") * F.col("before") + F.col("offset")).alias("offset"), F.greatest("spread", "widest").alias("spread"))).alias("m"))
-        found = cut(found.select(F.col("b").alias("channel"), F.col("m.s").alias("log_scale"), F.col("m.offset"), F.col("m.n").alias("n_links"), F.col("m.spread")))
-        if found.isEmpty():
-            break
-        known_channels = known_channels.union(found)
-    return known_channels.where(F.col("channel") != anchor)
+    edges = cut(offset.select("field", "a", "b", "d", "offset", "spread", "n").union(offset.select("field", "b", "a", -F.col("d"), -F.col("offset") * F.exp(-F.col("d")), "spread", "n")))
+    rows = edges.limit(most_edges + 1).collect()
+    reached = _walk(edges.sparkSession, rows, rules, anchor) if len(rows) <= most_edges else _walk_far(edges, rules, anchor)
+    out = reached.where(F.col("channel") != anchor)
+    return out if several else out.drop("field")
+
+
+_REACHED = "field string, channel string, log_scale double, offset double, n_links long, spread double"
+
+
+def _walk(spark: SparkSession, edges: list[Row], fields: dict, anchor: str) -> DataFrame:
+    out: dict[str, list] = {}
+    for e in edges:
+        out.setdefault((e["field"], e["a"]), []).append(e)
+    done = {(f, anchor): (0.0, 0.0, 0, 0.0) for f in fields}
+    edge_of_known = list(done)
+    while edge_of_known:
+        best: dict = {}
+        for f, a in edge_of_known:
+            s, before, _, widest = done[f, a]
+            for e in out.get((f, a), ()):
+                if (f, e["b"]) not in done:
+                    step = (e["n"], a, s + e["d"], math.exp(e["d"]) * before + e["offset"], max(e["spread"], widest))
+                    best[f, e["b"]] = max(step, best.get((f, e["b"]), step))
+        done |= {k: (s, offset, n, spread) for k, (n, _, s, offset, spread) in best.items()}
+        edge_of_known = list(best)
+    return spark.createDataFrame([(f, c, *x) for (f, c), x in done.items()], _REACHED)
+
+
+def _walk_far(edges: DataFrame, fields: dict, anchor: str) -> DataFrame:
+    """``_walk`` as Spark jobs, one for each hop, until no channel is new."""
+    known = edges.sparkSession.createDataFrame([(f, anchor, 0.0, 0.0, 0, 0.0) for f in fields], _REACHED)
+    newest = known
+    while True:
+        step = edges.join(newest.select("field", F.col("channel").alias("a"), "log_scale", F.col("offset").alias("before"), F.col("spread").alias("widest")), ["field", "a"])
+        step = step.join(known.select("field", F.col("channel").alias("b")), ["field", "b"], "left_anti")
+        found = step.groupBy("field", "b").agg(F.max(F.struct("n", "a", (F.col("log_scale") + F.col("d")).alias("s"), (F.exp("d") * F.col("before") + F.col("offset")).alias("offset"), F.greatest("spread", "widest").alias("spread"))).alias("m"))
+        newest = cut(found.select("field", F.col("b").alias("channel"), F.col("m.s").alias("log_scale"), F.col("m.offset"), F.col("m.n").alias("n_links"), F.col("m.spread")))
+        if newest.isEmpty():
+            return known
+        known = cut(known.union(newest))
 
 
-def far_currencies(rates: DataFrame, apart: float = 2.5, most: int = 400) -> dict[str, float]:
-    """Factors by which a euro field is off that holds another currency, and the other way round, as far as they can be told from a spread of prices.
+def currency_factors(rates: DataFrame, most: int = 400) -> dict[str, float]:
+    """Factors by which a field is off that holds another currency than it says, one of both being the euro.
 
     The rates are a dimension of a few rows; more than ``most`` is an error, not a cut.
     """
-    rows = rates.where("currency IS NOT NULL AND eur_per_unit > 0").select("currency", "eur_per_unit").distinct().limit(most + 1).collect()
+    rows = rates.where("currency IS NOT NULL AND currency <> 'EUR' AND eur_per_unit > 0").groupBy("currency").agg(F.max("eur_per_unit").alias("rate")).limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} exchange rates")
-    out = {f"{r[0]} as EUR": 1 / r[1] for r in rows} | {f"EUR as {r[0]}": r[1] for r in rows}
-    return {k: f for k, f in out.items() if abs(math.log(f)) > math.log(apart)}
+    return {f"{r[0]} as EUR": 1 / r[1] for r in rows} | {f"EUR as {r[0]}": r[1] for r in rows}
 
 
-def _references(rows: DataFrame, keys: list[str], value: str, out: str, least: int) -> DataFrame:
-    """Median of ``value`` by ``keys`` where at least ``least`` rows state it."""
-    known = rows.where(F.col(value).isNotNull())
+def _medians(rows: DataFrame, keys: list[str], least: int = 1, **values: str) -> DataFrame:
+    """Median of each of ``values`` (new name = column) by ``keys``, where at least ``least`` rows state it; rows without a key have none."""
+    known = rows
     for k in keys:
         known = known.where(F.col(k).isNotNull())
-    return known.groupBy(*keys).agg(F.percentile_approx(value, 0.5, 1000).alias(out), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).drop("n")
+    both = [x for out, c in values.items() for x in (F.percentile_approx(c, 0.5, 1000).alias(out), F.count(c).alias(f"n_{out}"))]
+    return known.groupBy(*keys).agg(*both).select(*keys, *[F.when(F.col(f"n_{out}") >= least, F.col(out)).alias(out) for out in values])
 
 
 def _unit_rows(raw: DataFrame, rates: DataFrame) -> DataFrame:
@@ -109,76 +155,114 @@ def _unit_rows(raw: DataFrame, rates: DataFrame) -> DataFrame:
     return rows.withColumns({"entity": entity, "fact_hp": F.col("fact_kw") * HP_PER_KW, "field_eur": F.col("price") * F.col("rate"), "fact_eur": F.col("fact_amount") * F.col("fact_rate")})
 
 
+#: Tolerances in logarithms: of a number against its own row's text, of one against the texts of its car, of scales, and the widest spread of a usable channel.
+OWN, SCALE = 0.02, {"power_kw": 0.02, "power_hp": 0.02, "price": 0.08}
+NEAR, WIDEST = {"power_kw": 0.1, "power_hp": 0.1, "price": 0.55}, {"power_kw": 0.25, "power_hp": 0.25, "price": 0.6}
+#: Units closer to each other than NEAR are told apart within this of their factor only, and where the site's own texts show them.
+CLOSE = 0.03
+
+
+def _unit_of(d: Column, units: dict[str, float], tolerance: float) -> Column:
+    """Name of the unit whose factor is nearest to exp(``d``), within ``tolerance``; NULL beyond."""
+    near = [F.struct(F.abs(d - math.log(f)).alias("d"), F.lit(i).alias("i"), F.lit(name).alias("name")) for i, (name, f) in enumerate(units.items())]
+    best = F.least(*near) if len(near) > 1 else near[0]
+    return F.when(d.isNotNull() & (best["d"] <= tolerance), best["name"])
+
+
 def converted(raw: DataFrame, rates: DataFrame) -> DataFrame:
     """Every row of ``raw`` once with kW, metric hp and euro, and how far each number field was off.
 
     Columns raw_id, power_kw, power_hp, price_eur and, for each field that holds
-    a number, its ``_factor`` (1.0 when the number is what the field says). The
-    reference of a number is what the row's own text states; without such a text
-    the median of the texts of the same car on other sites, then of the same
-    model and engine (power) or year and engine (price). A number is taken to be in
-    its site's unit, as the channel graph has it, unless its reference, at the
-    tolerance its spread allows, says otherwise; a channel's offset is taken off
-    for that comparison only. Sites outside the graph are believed. Unknown stays NULL. Unknown currencies give a NULL euro price.
-    Repeated ids are treated row by row; NULL or empty texts state nothing.
+    a number, its ``_factor`` (1.0 when the number is what the field says). A number
+    whose row, advert or car has a text with its unit belongs to the channel (site,
+    field, unit) that its ratio to the text names, any other to the site's channel
+    without texts; the factor is the scale that the graph of channels gives to
+    that channel. Numbers beside no known unit of their row's text keep the
+    measured ratio. In channels without texts the median of the same model and
+    engine (power) or year and engine (price) overrules a scale that it contradicts
+    by more than it scatters; a channel's offset is taken off first. Where the graph
+    doesn't reach such a channel, it is expected in the unit of three quarters of its
+    site's other numbers, else believed. Unknown stays NULL. Unknown currencies give a
+    NULL euro price. Repeated ids are treated row by row; NULL or empty texts state
+    nothing.
     """
     rows = cut(_unit_rows(raw, rates))
-    graphs = {  # field -> its observations, what the texts state, known units, tolerance of the scales, widest spread
-        "power_kw": ("power_kw", "fact_kw", POWER_KW_UNITS, 0.02, 0.25),
-        "power_hp": ("power_hp", "fact_hp", POWER_HP_UNITS, 0.02, 0.25),
-        "price": ("field_eur", "fact_eur", PRICE_SCALES, 0.08, 0.6),
+    by_car = _medians(rows, ["entity"], car_kw="fact_kw", car_eur="fact_eur")
+    by_advert = _medians(rows, ["advert"], ad_kw="fact_kw", ad_eur="fact_eur")
+    by_engine = _medians(rows, ["model", "size"], 3, engine_kw="fact_kw")
+    by_age = _medians(rows, ["size", "year"], 5, age_eur="fact_eur")
+    rows = rows.join(by_car, "entity", "left").join(by_advert, "advert", "left").join(by_engine, ["model", "size"], "left").join(by_age, ["size", "year"], "left")
+
+    units = {"power_kw": POWER_KW_UNITS, "power_hp": POWER_HP_UNITS, "price": PRICE_SCALES | currency_factors(rates)}
+    shared_kw, shared_eur = F.coalesce("ad_kw", "car_kw"), F.coalesce("ad_eur", "car_eur")
+    fields = {  # field -> number, what the row's text states, what its advert or car states, its kind's median, rounding
+        "power_kw": (F.col("power_kw"), F.col("fact_kw"), shared_kw, F.col("engine_kw"), 1.0),
+        "power_hp": (F.col("power_hp"), F.col("fact_hp"), shared_kw * HP_PER_KW, F.col("engine_kw") * HP_PER_KW, 0.5 + HP_PER_KW / 2),
+        "price": (F.col("field_eur"), F.col("fact_eur"), shared_eur, F.col("age_eur"), 0.0),
     }
-    base = rows
-    for name, (field, fact, units, tolerance, widest) in graphs.items():
-        s = channel_scales(_observations(base, field, fact), units, tolerance=tolerance).where(F.col("spread") <= widest)
-        unit = F.coalesce(snap(F.col("log_scale"), units, 0.02), F.lit(0.0))
-        # units closer together than rounding need many links
-        unit = F.when((F.abs(unit) < 0.02) & (F.col("n_links") < 20), 0.0).otherwise(unit)
-        site = cut(s.select("channel", unit.alias(f"{name}_channel"), F.col("offset").alias(f"{name}_offset")))
-        rows = rows.join(site, "channel", "left")
-    by_car = _references(base, ["entity"], "fact_kw", "car_kw", 1).join(_references(base, ["entity"], "fact_eur", "car_eur", 1), "entity", "full_outer")
-    by_engine = _references(base, ["model", "size"], "fact_kw", "engine_kw", 3)
-    by_age = _references(base, ["size", "year"], "fact_eur", "age_eur", 5)
-    rows = rows.join(by_car, "entity", "left").join(by_engine, ["model", "size"], "left").join(by_age, ["size", "year"], "left")
-
-    kw_ref = F.coalesce("fact_kw", "car_kw", "engine_kw")
-    rates_here = far_currencies(rates)
-
-    def factor(name: str, value: Column, own: Column, other: Column, units: dict[str, float], near: float, rounding: float = 0.0) -> Column:
-        site = F.coalesce(f"{name}_channel", F.lit(0.0))
-        level = value - F.coalesce(f"{name}_offset", F.lit(0.0))
-        by_text = F.ln(F.try_divide(value, own))
-        by_other = F.ln(F.try_divide(F.when(level > 0, level), other))
-        snapped = F.when(F.abs(value - own) <= rounding, 0.0).otherwise(F.coalesce(snap(by_text, units, 0.02), by_text))
-        return F.when(value > 0, F.exp(F.coalesce(snapped, F.when(F.abs(by_other - site) > near, snap(by_other, units, near)), site)))
-
-    kw, hp = F.col("power_kw"), F.col("power_hp")
-    out = rows.withColumns(
-        {
-            "power_kw_factor": factor("power_kw", kw, F.col("fact_kw"), F.coalesce("car_kw", "engine_kw"), POWER_KW_UNITS, 0.1, 1.0),
-            "power_hp_factor": factor("power_hp", hp, F.col("fact_hp"), F.coalesce("car_kw", "engine_kw") * HP_PER_KW, POWER_HP_UNITS, 0.1, 0.5 + HP_PER_KW / 2),
-            "price_factor": factor("price", F.col("field_eur"), F.col("fact_eur"), F.coalesce("car_eur", "age_eur"), PRICE_SCALES | rates_here, 0.55),
-        }
-    )
-    std_kw = F.coalesce(F.try_divide(kw, F.col("power_kw_factor")), kw_ref, F.try_divide(hp, F.col("power_hp_factor")) / HP_PER_KW)
+    parts = []
+    for f, (value, own, shared, kind, rounding) in fields.items():
+        plain = next(iter(units[f]))
+        far = {u: x for u, x in units[f].items() if u == plain or abs(math.log(x)) > NEAR[f] * 1.6}
+        close = {u: x for u, x in units[f].items() if u == plain or (u not in far and abs(math.log(x)) > 2 * CLOSE)}
+        by_own, by_shared = F.ln(F.try_divide(value, own)), F.ln(F.try_divide(value, shared))
+        told = F.when(F.abs(value - own) <= rounding, F.lit(plain)).otherwise(F.coalesce(_unit_of(by_own, units[f], OWN), F.when(own.isNotNull(), F.lit("other"))))
+        parts.append(
+            F.struct(
+                F.lit(f).alias("field"), value.cast("double").alias("value"), own.cast("double").alias("own"), shared.cast("double").alias("shared"), kind.cast("double").alias("kind"), told.alias("told"),
+                F.coalesce(_unit_of(by_shared, far, NEAR[f]), F.lit("?")).alias("seen"), F.nullif(_unit_of(by_shared, close, CLOSE), F.lit(plain)).alias("close"),
+            )
+        )
+    kept = rows.select("raw_id", "entity", "advert", "channel", *[p.alias(f"f_{i}") for i, p in enumerate(parts)], "fact_kw", "car_kw", "ad_kw", "engine_kw", "fact_eur")
+    kept = cut(kept.withColumn("row", F.monotonically_increasing_id()))
+    numbers = cut(kept.select("row", "raw_id", "entity", "advert", "channel", F.explode(F.array(*[f"f_{i}" for i in range(3)])).alias("x")).select("row", "raw_id", "entity", "advert", "channel", "x.*").where("value > 0"))
+    # a close unit counts for a shared text only where the site's own texts show it
+    shown = numbers.where("told IS NOT NULL").select("channel", "field", F.col("told").alias("close"), F.lit(True).alias("shown")).distinct()
+    numbers = numbers.join(shown, ["channel", "field", "close"], "left")
+    unit = F.coalesce("told", F.when(F.col("shown"), F.col("close")), F.when(F.col("shared").isNotNull(), F.col("seen")), F.lit("?"))
+    numbers = cut(numbers.withColumn("unit", unit).withColumn("node", F.concat_ws("|", "channel", "unit")).drop("shown"))
+    scales = channel_scales(_observations(numbers), {f: (units[f], SCALE[f]) for f in fields}, min_links=1)
+    loose = F.substring_index("channel", "|", -1) == "?"
+    widest = F.element_at(F.create_map(*[F.lit(x) for kv in WIDEST.items() for x in kv]), F.col("field"))
+    # a channel that no text reaches, and units closer together than rounding, need many links
+    near_one = (F.abs("log_scale") < 0.02) & loose & (F.col("n_links") < 20)
+    usable = (F.col("spread") <= widest) & (~loose | (F.col("n_links") >= 3))
+    named = F.coalesce(*[F.when((F.col("field") == f) & (F.substring_index("channel", "|", -1) == u), math.log(x)) for f in fields for u, x in units[f].items()])
+    # a named channel of one or two numbers can't tell another scale than its name's
+    scale = F.when(near_one, 0.0).when((F.col("n_links") < 3) & named.isNotNull(), named).otherwise(F.col("log_scale"))
+    scales = cut(scales.where(usable).select("field", F.col("channel").alias("node"), scale.alias("scale"), "offset"))
+    # numbers that nothing else reaches are expected in the unit that most of their site's other numbers have
+    counts = numbers.where("unit NOT IN ('?', 'other')").groupBy("field", "channel", "unit").agg(F.count(F.lit(1)).alias("n"))
+    most = counts.groupBy("field", "channel").agg(F.max(F.struct("n", "unit")).alias("m"), F.sum("n").alias("n")).where("m.n >= 3 AND m.n * 4 >= n * 3")
+    usual = most.select("field", "channel", F.concat_ws("|", "channel", "m.unit").alias("node"), F.col("m.n").alias("n")).join(scales.drop("offset"), ["field", "node"])
+    usual = usual.select("field", "channel", F.when((F.abs("scale") < 0.02) & (F.col("n") < 20), 0.0).otherwise(F.col("scale")).alias("usual"))
+    numbers = numbers.join(scales, ["field", "node"], "left").join(usual, ["field", "channel"], "left").withColumn("scale", F.coalesce("scale", F.when(F.col("unit") == "?", F.col("usual"))))
+    level = F.col("value") - F.coalesce("offset", F.lit(0.0))
+    by_kind = F.ln(F.try_divide(F.when(level > 0, level), F.col("kind")))
+    expected = F.coalesce("scale", F.lit(0.0))
+    overruled = F.coalesce(*[F.when((F.col("field") == f) & (F.abs(by_kind - expected) > NEAR[f]), snap(by_kind, {u: x for u, x in units[f].items() if x == 1.0 or abs(math.log(x)) > NEAR[f] * 1.6}, NEAR[f])) for f in fields])
+    log_factor = F.when(F.col("unit") == "other", F.ln(F.try_divide(F.col("value"), F.col("own")))).when(F.col("unit") == "?", F.coalesce(overruled, expected)).otherwise(expected)
+    factors = numbers.groupBy("row").agg(*[F.max(F.when(F.col("field") == f, F.exp(log_factor))).alias(f"{f}_factor") for f in fields])
+    out = kept.select("row", "raw_id", *[F.col(f"f_{i}.value").alias(f"v_{i}") for i in range(3)], F.coalesce("fact_kw", "ad_kw", "car_kw", "engine_kw").alias("kw_ref"), "fact_eur").join(factors, "row", "left")
+    std_kw = F.coalesce(F.try_divide(F.col("v_0"), F.col("power_kw_factor")), F.col("kw_ref"), F.try_divide(F.col("v_1"), F.col("power_hp_factor")) / HP_PER_KW)
     return out.select(
         "raw_id",
         F.round(std_kw, 1).alias("power_kw"),
-        F.round(F.coalesce(F.try_divide(hp, F.col("power_hp_factor")), std_kw * HP_PER_KW), 1).alias("power_hp"),
-        F.round(F.coalesce(F.try_divide(F.col("field_eur"), F.col("price_factor")), F.col("fact_eur")), 2).alias("price_eur"),
-        *(F.round(f"{f}_factor", 4).alias(f"{f}_factor") for f in ("power_kw", "power_hp", "price")),
+        F.round(F.coalesce(F.try_divide(F.col("v_1"), F.col("power_hp_factor")), std_kw * HP_PER_KW), 1).alias("power_hp"),
+        F.round(F.coalesce(F.try_divide(F.col("v_2"), F.col("price_factor")), F.col("fact_eur")), 2).alias("price_eur"),
+        *(F.round(f"{f}_factor", 4).alias(f"{f}_factor") for f in fields),
     )
 
 
-def _observations(rows: DataFrame, field: str, fact: str) -> DataFrame:
-    """The field of each channel, and as the anchor's what the texts state, by car and by advert."""
-    parts = []
+def _observations(numbers: DataFrame) -> DataFrame:
+    """(field, entity, channel, value): each number by its channel, and what the texts state as the anchor's, for its row (own text) or its advert and its car (shared texts, and numbers that no text reaches)."""
+    own = numbers.where("told IS NOT NULL AND unit <> 'other'")
+    rest = numbers.where("told IS NULL")
+    parts = [own.select("field", F.concat(F.lit("row "), F.col("row").cast("string")).alias("entity"), F.lit(TEXT_CHANNEL).alias("channel"), F.col("own").alias("value"))]
+    parts.append(own.select("field", F.concat(F.lit("row "), F.col("row").cast("string")), "node", "value"))
     for key in ("entity", "advert"):
-        parts += [rows.select(F.col(key).alias("entity"), "channel", F.col(field).alias("value")), rows.select(F.col(key), F.lit(TEXT_CHANNEL), F.col(fact))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+        parts += [rest.select("field", key, "node", "value"), rest.select("field", key, F.lit(TEXT_CHANNEL), "shared"), own.select("field", key, "node", "value"), own.select("field", key, F.lit(TEXT_CHANNEL), "own")]
+    return reduce(DataFrame.union, parts)
 
 
 def wrong_units(conversions: DataFrame) -> DataFrame:

@@ -135,3 +135,63 @@ def test_near_hashes_with_members_equal_brute_force(spark):
         got |= {(min(a, b), max(a, b), r["distance"]) for a in members[r["a"]] for b in members[r["b"]]}
     want = {(a, b, (x ^ y).bit_count()) for a, x in enumerate(numbers) for b, y in enumerate(numbers) if a < b and (x ^ y).bit_count() <= 8}
     assert got == want
+
+
+def test_units_come_through_the_graph(spark, monkeypatch):
+    df = raw(spark, [{"url": "https://s.example/auto/mk-m/20-1000001.html", "power_kw": 75, "description": "Leistung 55 kW (75 PS)."}])
+    assert units.wrong_units(units.converted(df, rates(spark))).count() == 1
+    scales = units.channel_scales
+    monkeypatch.setattr(units, "channel_scales", lambda *a, **k: scales(*a, **k).where("false"))
+    assert units.wrong_units(units.converted(df, rates(spark))).count() == 0
+
+
+def test_channels_are_reached_over_many_hops(spark):
+    rows = [(f"e0 {k}", c, v) for k in range(3) for c, v in (("text", 100.0 + k), ("s0", 100.0 + k))]
+    for i in range(11):
+        rows += [(f"e{i + 1} {k}", f"s{j}", (100.0 + k) * f) for k in range(3) for j, f in ((i, 1.0), (i + 1, 1000.0 if i == 10 else 1.0))]
+    df = spark.createDataFrame(rows, "entity string, channel string, value double")
+    near, far = units.channel_scales(df, units.POWER_KW_UNITS), units.channel_scales(df, units.POWER_KW_UNITS, most_edges=1)
+    got = {r["channel"]: r["log_scale"] for r in near.collect()}
+    assert len(got) == 12 and got["s11"] == pytest.approx(6.9078, abs=1e-3) and got["s10"] == pytest.approx(0.0, abs=1e-9)
+    assert sorted(map(tuple, near.collect())) == sorted(map(tuple, far.collect()))
+
+
+def test_near_currency_of_a_car_without_a_price_of_its_own(spark):
+    car = lambda site, i, **k: {"url": f"https://{site}.example/auto/mk-m{chr(97 + i)}/20-{1000000 + 7 * i + len(site)}.html", "title": f"M {1 + i % 5},4", "year": 2010, "mileage_km": 50000 + 2100 * i, "currency": "EUR"} | k
+    rows = []
+    for i in range(6):
+        rows += [car("gb", i, price=5000.0 + 100 * i, description=f"asking {5000 + 100 * i} GBP"), car("de", i, price=float(round((5000 + 100 * i) * 1.16)), description=f"Preis {round((5000 + 100 * i) * 1.16)} EUR")]
+    rows += [car("de", 9, price=5800.0, description="Preis 5800 EUR"), car("gb", 9, price=5000.0), car("fr", 9, price=5000.0)]
+    found = {tuple(r) for r in units.wrong_units(units.converted(raw(spark, rows), rates(spark))).collect()}
+    # the British site is known for it, the French one isn't
+    assert found == {(i, "price") for i in (0, 2, 4, 6, 8, 10, 13)}
+
+
+def test_clusters_that_do_not_settle_are_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {r["cluster"] for r in dedup.clusters(chain).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        dedup.clusters(chain, most_rounds=2)
+
+
+def test_smoothed_equals_a_fold(spark):
+    import random
+
+    r = random.Random(1)
+    rows = [(k, i, r.choice([None, r.random() * 10])) for k in range(7) for i in range(r.randrange(30))] + [(None, 1, 5.0), (99, 1, None)]
+    df = spark.createDataFrame(rows, "k long, i long, v double").withColumn("extra", F.lit(1))
+    want = {}
+    for k, i, v in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1])):
+        if v is not None:
+            a, n = want.get(k, (0.0, 0))
+            want[k] = (round(round(a * 0.7 + v * (1 - 0.7), 6), 3), n + 1)
+    got = {x["k"]: (x["average"], x["n"]) for x in history.smoothed(df, "k", "i", "i", "v").collect()}
+    assert got.keys() == want.keys() and all(got[k] == (pytest.approx(want[k][0], abs=2e-3), want[k][1]) for k in want)
+    assert history.smoothed(df.limit(0), "k", "i", "i", "v").count() == 0
+
+
+def test_diverse_images(spark):
+    rows = [(["a", "b", "c"], ["0" * 16, "0" * 15 + "7", "f" * 16]), (list("abcdefghijk"), None), (["a", "", None, "b"], ["00"]), (None, None), (list("abcdefg"), [f"{(0xFFFF << 8 * i) & (2**64 - 1):016x}" for i in range(7)])]
+    df = spark.createDataFrame(rows, "u array<string>, h array<string>")
+    got = [x[0] for x in df.select(dedup.diverse(F.col("u"), F.col("h"))).collect()]
+    assert got == [["a", "c"], ["a", "c", "e", "g", "i"], ["a", "b"], [], ["a", "b", "c", "d", "e"]]
