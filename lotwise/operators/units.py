@@ -158,7 +158,7 @@ def _unit_rows(raw: DataFrame, rates: DataFrame) -> DataFrame:
 #: Tolerances in logarithms: of a number against its own row's text, of one against the texts of its car, of scales, and the widest spread of a usable channel.
 OWN, SCALE = 0.02, {"power_kw": 0.02, "power_hp": 0.02, "price": 0.08}
 NEAR, WIDEST = {"power_kw": 0.1, "power_hp": 0.1, "price": 0.55}, {"power_kw": 0.25, "power_hp": 0.25, "price": 0.6}
-#: Units closer to each other than NEAR are told apart within this of their factor only, and where the site's own texts show them.
+#: Units closer to each other than NEAR are told apart within this of their factor only, and where a fifth of the site's own texts show them.
 CLOSE = 0.03
 
 
@@ -216,8 +216,10 @@ def converted(raw: DataFrame, rates: DataFrame) -> DataFrame:
     kept = rows.select("raw_id", "entity", "advert", "channel", *[p.alias(f"f_{i}") for i, p in enumerate(parts)], "fact_kw", "car_kw", "ad_kw", "engine_kw", "fact_eur")
     kept = cut(kept.withColumn("row", F.monotonically_increasing_id()))
     numbers = cut(kept.select("row", "raw_id", "entity", "advert", "channel", F.explode(F.array(*[f"f_{i}" for i in range(3)])).alias("x")).select("row", "raw_id", "entity", "advert", "channel", "x.*").where("value > 0"))
-    # a close unit counts for a shared text only where the site's own texts show it
-    shown = numbers.where("told IS NOT NULL").select("channel", "field", F.col("told").alias("close"), F.lit(True).alias("shown")).distinct()
+    # a close unit counts for a shared text only where a fifth of the site's numbers beside a text of their own are in it
+    told = numbers.where("told IS NOT NULL").groupBy("channel", "field", F.col("told").alias("close")).agg(F.count(F.lit(1)).alias("n"))
+    every = told.groupBy("channel", "field").agg(F.sum("n").alias("every"))
+    shown = told.join(every, ["channel", "field"]).where("n >= 3 AND n * 5 >= every").select("channel", "field", "close", F.lit(True).alias("shown"))
     numbers = numbers.join(shown, ["channel", "field", "close"], "left")
     unit = F.coalesce("told", F.when(F.col("shown"), F.col("close")), F.when(F.col("shared").isNotNull(), F.col("seen")), F.lit("?"))
     numbers = cut(numbers.withColumn("unit", unit).withColumn("node", F.concat_ws("|", "channel", "unit")).drop("shown"))
@@ -229,7 +231,8 @@ def converted(raw: DataFrame, rates: DataFrame) -> DataFrame:
     usable = (F.col("spread") <= widest) & (~loose | (F.col("n_links") >= 3))
     named = F.coalesce(*[F.when((F.col("field") == f) & (F.substring_index("channel", "|", -1) == u), math.log(x)) for f in fields for u, x in units[f].items()])
     # a named channel of one or two numbers can't tell another scale than its name's
-    scale = F.when(near_one, 0.0).when((F.col("n_links") < 3) & named.isNotNull(), named).otherwise(F.col("log_scale"))
+    far_off = F.coalesce(*[F.when(F.col("field") == f, snap(F.col("log_scale"), {u: x for u, x in units[f].items() if x == 1.0 or abs(math.log(x)) > NEAR[f] * 1.6 or f != "price"}, OWN)) for f in fields], F.lit(0.0))
+    scale = F.when(near_one, 0.0).when(loose, far_off).when((F.col("n_links") < 3) & named.isNotNull(), named).otherwise(F.col("log_scale"))
     scales = cut(scales.where(usable).select("field", F.col("channel").alias("node"), scale.alias("scale"), "offset"))
     # numbers that nothing else reaches are expected in the unit that most of their site's other numbers have
     counts = numbers.where("unit NOT IN ('?', 'other')").groupBy("field", "channel", "unit").agg(F.count(F.lit(1)).alias("n"))
