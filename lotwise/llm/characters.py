@@ -75,7 +75,9 @@ def canonical_sql(column: str) -> str:
 
     NULL stays NULL, an empty or invisible-only text becomes ''. White space of
     any kind is one space, at the ends none. Letter case, accents, wording and
-    visible punctuation are kept.
+    visible punctuation are kept. Look-alike letters are mapped whatever script
+    their word is in, so that a Cyrillic word and its imitation become equal: the
+    form serves comparisons, it isn't a spelling of words in those scripts.
     """
     one, several, dropped = tables()
     inner = column
@@ -120,19 +122,37 @@ def _key(c: Column) -> list[Column]:
     return [F.xxhash64(c), F.xxhash64(F.lit("second"), c)]
 
 
+def _hashed(texts: DataFrame) -> DataFrame:
+    rows = with_canonical(texts.select("field", "id", "text").where(F.col("text").isNotNull()), "text", "canon")
+    k1, k2 = _key(F.col("canon"))
+    t1, t2 = _key(F.col("text"))
+    return rows.where("canon <> ''").select("field", "id", k1.alias("k1"), k2.alias("k2"), t1.alias("t1"), t2.alias("t2"))
+
+
+def lookalike_classes(texts: DataFrame) -> DataFrame:
+    """(field, id, group_id, text_id): every row with visible text once: group_id is the smallest id of the rows that look the same, text_id the smallest of those that also are the same string. Rows of one group and different text_id are look-alikes. NULL and invisible texts give no row."""
+    rows = cut(_hashed(texts))
+    same = rows.groupBy("field", "k1", "k2", "t1", "t2").agg(F.min("id").alias("text_id"))
+    group = same.groupBy("field", "k1", "k2").agg(F.min("text_id").alias("group_id"))
+    named = same.join(group, ["field", "k1", "k2"]).select("field", "t1", "t2", "text_id", "group_id")
+    return rows.join(named, ["field", "t1", "t2"]).select("field", "id", "group_id", "text_id")
+
+
 def lookalike_pairs(texts: DataFrame) -> DataFrame:
     """(field, id, text) -> (field, id_a, id_b): rows of one field that look the same but aren't the same string.
 
-    Texts travel as 128-bit hashes of their canonical form plus a hash of the
-    text itself. Groups of one single string are dropped by a pre-aggregated
-    minimum and maximum before rows meet, so hot repeated strings never reach the
-    self join; what is left is split by AQE where a group is large. NULL texts
-    and texts without visible characters give no pair; repeated ids count once.
+    Texts travel as 128-bit hashes of their canonical form and of themselves.
+    Rows are folded to classes of one string, classes of one canonical form are
+    paired, and only pairs of different classes are expanded to rows, so rows of
+    one string never meet, however many they are. NULL texts and texts without
+    visible characters give no pair; repeated ids count once.
     """
-    rows = with_canonical(texts.select("field", "id", "text").where(F.col("text").isNotNull()), "text", "canon")
-    k1, k2 = _key(F.col("canon"))
-    rows = cut(rows.where("canon <> ''").select("field", "id", k1.alias("k1"), k2.alias("k2"), F.xxhash64("text").alias("th")))
-    mixed = rows.groupBy("field", "k1", "k2").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).where("lo <> hi").select("field", "k1", "k2")
-    some = rows.join(mixed, ["field", "k1", "k2"], "left_semi")
-    a, b = some.withColumnRenamed("id", "id_a").withColumnRenamed("th", "ta"), some.withColumnRenamed("id", "id_b").withColumnRenamed("th", "tb")
-    return a.join(b, ["field", "k1", "k2"]).where("id_a < id_b AND ta <> tb").select("field", "id_a", "id_b").distinct()
+    rows = cut(_hashed(texts))
+    look, string = ["field", "k1", "k2"], ["t1", "t2"]
+    several = rows.groupBy(*look).agg(F.min(F.struct(*string)).alias("lo"), F.max(F.struct(*string)).alias("hi")).where("lo <> hi").select(*look)
+    some = cut(rows.join(several, look, "left_semi"))
+    classes = some.select(*look, *string).distinct()
+    pairs = classes.select(*look, F.struct(*string).alias("x")).join(classes.select(*look, F.struct(*string).alias("y")), look).where("x < y")
+    left = some.select(*look, F.struct(*string).alias("x"), F.col("id").alias("a")).join(pairs, [*look, "x"])
+    both = left.join(some.select(*look, F.struct(*string).alias("y"), F.col("id").alias("b")), [*look, "y"])
+    return both.where("a <> b").select("field", F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()

@@ -24,6 +24,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return characters.lookalike_pairs(_fields(spark, d))
 
 
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    return characters.lookalike_classes(_fields(spark, d))
+
+
 def p1_canonical(spark: SparkSession, d: str) -> DataFrame:
     return characters.with_canonical(_fields(spark, d), "text", "canonical").select("field", "id", "canonical")
 
@@ -34,6 +38,7 @@ WITH t(field, id, text) AS (
 ), c AS (SELECT field, id, text, {characters.canonical_sql('text')} AS canonical FROM t)
 """
 P1_FOUND_SQL = _P1_ROWS + "SELECT DISTINCT a.field, a.id AS id_a, b.id AS id_b FROM c a JOIN c b ON a.field = b.field AND a.canonical = b.canonical AND a.id < b.id WHERE a.text <> b.text AND a.canonical <> ''"
+P1_CLASSES_SQL = _P1_ROWS + """SELECT field, id, min(id) OVER (PARTITION BY field, canonical) AS group_id, min(id) OVER (PARTITION BY field, text) AS text_id FROM c WHERE text IS NOT NULL AND canonical <> ''"""
 P1_CANONICAL_SQL = _P1_ROWS + "SELECT field, id, canonical FROM c"
 
 
@@ -156,7 +161,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 _NAMES = (
-    p1_found, p1_canonical, p2_found, p2_survivors, p2_merged, p3_found, p3_main_text, p3_templates, p4_found, p5_found, p5_groups,
+    p1_found, p1_classes, p1_canonical, p2_found, p2_survivors, p2_merged, p3_found, p3_main_text, p3_templates, p4_found, p5_found, p5_groups,
     p6_found, p6_segments, p8_found, p9_mixture, p9_shares, p10_found, p10_scores, p10_rates,
 )
 
@@ -166,4 +171,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND_SQL, "p1_canonical": P1_CANONICAL_SQL, "p2_found": P2_FOUND_SQL, "p2_survivors": P2_SURVIVORS_SQL}
+    return {"p1_found": P1_FOUND_SQL, "p1_classes": P1_CLASSES_SQL, "p1_canonical": P1_CANONICAL_SQL, "p2_found": P2_FOUND_SQL, "p2_survivors": P2_SURVIVORS_SQL}
