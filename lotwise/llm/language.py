@@ -13,7 +13,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotwise.llm.characters import with_canonical
@@ -63,13 +63,18 @@ def plain(segment: str) -> str:
 
 
 class Classifier:
-    """Smallest compressed size over one raw-content dictionary per language."""
+    """Smallest compressed size over one raw-content dictionary per language.
 
-    def __init__(self, dictionaries: dict[str, bytes], least_words: int = 3, least_margin: float = 0.05):
+    Segments of fewer than ``least_words`` words or a margin under ``least_margin``
+    are rejected; a segment of fewer than ``sentence_words`` is a fragment (a name,
+    a list entry): it has a language of its own, but doesn't establish one of its text.
+    """
+
+    def __init__(self, dictionaries: dict[str, bytes], least_words: int = 3, least_margin: float = 0.05, sentence_words: int = 4):
         import zstandard
 
         self.dictionaries = dictionaries
-        self.least_words, self.least_margin = least_words, least_margin
+        self.least_words, self.least_margin, self.sentence_words = least_words, least_margin, sentence_words
         self.by: list[tuple[str, object]] = []
         for lang in sorted(dictionaries):
             d = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -129,13 +134,15 @@ def hash_of(text: str) -> int:
 
 
 def learned(documents: DataFrame, languages: tuple[str, ...] = ("de", "en", "es", "fr", "it", "nl", "pl", "pt"), most_docs: int = 500) -> Classifier:
-    """A classifier from at most ``most_docs`` labelled documents per language, chosen by hash of the text."""
-    labelled = documents.where("text IS NOT NULL").select("text", label_code(F.col("lang")).alias("lang")).where(F.col("lang").isin(*languages))
-    parts = [labelled.where(F.col("lang") == x).orderBy(F.xxhash64("text"), "text").limit(most_docs) for x in languages]
-    sample = parts[0]
-    for p in parts[1:]:
-        sample = sample.union(p)
-    rows = with_canonical_keep_lines(sample).collect()
+    """A classifier from at most ``most_docs`` labelled documents per language, chosen by hash of the doc_id (of the text where there is none) in one pass over ids and one over texts."""
+    # ids first, without their texts; Spark keeps no more than most_docs of a language in a task before the shuffle (window group limit)
+    key = F.xxhash64("doc_id" if "doc_id" in documents.columns else "text").alias("key")
+    ids = documents.where("text IS NOT NULL").select(key, label_code(F.col("lang")).alias("lang")).where(F.col("lang").isin(*languages))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    chosen = ids.withColumn("place", place).where(F.col("place") <= most_docs).groupBy("key").agg(F.min("lang").alias("label"))
+    # at most most_docs times the number of languages
+    sample = documents.where("text IS NOT NULL").select(key, "text").join(F.broadcast(chosen), "key").select("text", F.col("label").alias("lang"))
+    rows = sorted(with_canonical_keep_lines(sample).collect())
     return Classifier(dictionaries([r["text"] for r in rows], [r["lang"] for r in rows]))
 
 
@@ -173,7 +180,7 @@ def segment_languages(texts: DataFrame, classifier: Classifier | dict[str, bytes
                         seen[s] = seen[key]
                     lang, sure = seen[s]
                     rows.append({"segment": s, "lang": lang, "confidence": sure})
-                    if lang and s.count(" ") >= 3:
+                    if lang and s.count(" ") + 1 >= net.sentence_words:
                         found[lang] = max(sure, found.get(lang, 0.0))
                 # a language needs one sure segment, or to be the likeliest of a text that has none
                 decided = [x for x, sure in found.items() if sure >= SURE] or sorted(found, key=lambda x: -found[x])[:1]
