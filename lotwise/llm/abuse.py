@@ -9,20 +9,23 @@ anew as the network learns. All overlapping windows of every document are scored
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.llm.characters import with_canonical
 from lotwise.llm.recurrent import WindowClassifier
-from lotwise.session import cores_of, cut
+from lotwise.session import cut
 
 WINDOW, STRIDE = 20, 10  #: words of a window, and between the starts of two
+WORD_CHARS = 16  #: letters of a word that the network reads at once
+SHORT = 3  #: words up to which a sentence is read together with the one before it
 _BREAK = re.compile(r"(?<=[.!?…])[\"'»)]*\s+|\n+")
 _TOKEN = re.compile(r"(?:[@$](?=[^\W\d_]))?[^\W_](?:[^\W_]|[*@$'’#](?=[\w*@$#]))*[*@$]?")
 _SPACED = re.compile(r"(?<!\w)[^\W\d_](?:([.\-_*· ])[^\W\d_])(?:\1[^\W\d_]){2,}(?!\w)")
@@ -41,21 +44,28 @@ def plain_words(text: str) -> list[str]:
             continue
         if any(c in w for c in "@$013457") and sum(c.isalpha() for c in w) >= 2:
             w = w.translate(_LEET)
-        out.append(_REPEATED.sub(r"\1", w))
+        w = _REPEATED.sub(r"\1", w)
+        # long compounds are read in overlapping pieces
+        out += [w] if len(w) <= WORD_CHARS else [w[k : k + WORD_CHARS] for k in range(0, len(w) - WORD_CHARS // 2, WORD_CHARS // 2)]
     return out
 
 
 def windows_of(text: str | None) -> list[tuple[str, ...]]:
-    """All windows of a canonical text: its sentences, those longer than a window as overlapping windows; single words are read with what precedes them."""
+    """All windows of a canonical text: its sentences, those longer than a window as overlapping windows, and each short sentence without numbers once more together with the end of the one before it on its line."""
     out: list[tuple[str, ...]] = []
-    for line in _BREAK.split(text or ""):
-        words = plain_words(_SPEAKER.sub("", line))
-        if not words:
-            continue
-        if len(words) <= WINDOW:
-            out.append(tuple(words))
-        else:
-            out += [tuple(words[k : k + WINDOW]) for k in range(0, max(1, len(words) - WINDOW + STRIDE), STRIDE)]
+    for block in (text or "").split("\n"):
+        before: list[str] = []
+        for line in _BREAK.split(block):
+            words = plain_words(_SPEAKER.sub("", line))
+            if not words:
+                continue
+            if len(words) <= WINDOW:
+                out.append(tuple(words))
+            else:
+                out += [tuple(words[k : k + WINDOW]) for k in range(0, max(1, len(words) - WINDOW + STRIDE), STRIDE)]
+            if before and len(words) <= SHORT and "0" not in words:
+                out.append(tuple((before + words)[-WINDOW:]))
+            before = words
     return out
 
 
@@ -86,7 +96,7 @@ def rarity(window: tuple[str, ...], common: frozenset[str] | set[str]) -> float:
     return sum(w not in common for w in window) / max(3, len(window))
 
 
-def train(texts: list[str], labels: list[int], common: set[str] | frozenset[str] = frozenset(), epochs: int = 24, negatives: int = 3500, batch: int = 256, rate: float = 0.006, seed: int = 7) -> tuple[WindowClassifier, float]:
+def train(texts: list[str], labels: list[int], common: set[str] | frozenset[str] = frozenset(), epochs: int = 24, negatives: int = 3500, batch: int = 256, rate: float = 0.006, seed: int = 7, most_words: int = 20_000, most_letters: int = 120, pool: int = 8000, most_hard: int = 800) -> tuple[WindowClassifier, float]:
     """A classifier of windows from canonical texts with document labels, and the score from which a document counts as abusive.
 
     Only some window of a positive document is the positive one: at first the one
@@ -99,13 +109,19 @@ def train(texts: list[str], labels: list[int], common: set[str] | frozenset[str]
     best window stays unlikely, and near-certain windows of negatives, are taken
     as labelling mistakes and left out. Without both labels a classifier that
     finds nothing is returned.
+
+    Bounds of the fit, which scoring doesn't have: words beyond the ``most_words``
+    most frequent are known by their letters only, letters beyond ``most_letters``
+    are one letter; negatives still taken for positives are looked for among the
+    ``pool`` most frequent everyday windows and all unusual ones, and at most
+    ``most_hard`` of each are added to an epoch.
     """
     rng = np.random.default_rng(seed)
     docs = [windows_of(t) for t in texts]
     y = np.array([bool(v) and bool(d) for v, d in zip(labels, docs, strict=True)], bool)
     spread = Counter(x for d in docs for x in {z for w in d for z in w})
-    vocabulary = [w for w, n in spread.most_common(20_000) if n >= 2]
-    alphabet = "".join(c for c, _ in Counter(c for w in spread for c in w).most_common(120))
+    vocabulary = [w for w, n in spread.most_common(most_words) if n >= 2]
+    alphabet = "".join(c for c, _ in Counter(c for w in spread for c in w).most_common(most_letters))
     model = WindowClassifier(vocabulary, alphabet, seed)
     if not y.any() or y.all():
         return model, 2.0
@@ -140,13 +156,13 @@ def train(texts: list[str], labels: list[int], common: set[str] | frozenset[str]
             ends = np.cumsum([len(d) for d in positive_docs])[:-1]
             scores = np.split(model.score([list(w) for d in positive_docs for w in d]), ends)
             rank = [[float(s) + 0.3 * q for s, q in zip(sc, qs, strict=True)] for sc, qs in zip(scores, prior, strict=True)]
-            pool = everyday[:8000]
-            hard = [w for w, sc in zip(pool, model.score([list(w) for w in pool]), strict=True) if sc > 0.2][:800]
+            mined = everyday[:pool]
+            hard = [w for w, sc in zip(mined, model.score([list(w) for w in mined]), strict=True) if sc > 0.2][:most_hard]
             if epoch >= 8:
                 trust = np.array([1.0 if sc.max() > z else 0.0 for sc, z in zip(scores, least, strict=True)])
                 worst = model.score([list(w) for w in unusual])
                 doubtful = {w for w, sc in zip(unusual, worst, strict=True) if sc > 0.8 and benign[w] <= 2}
-                hard += [w for w, sc in zip(unusual, worst, strict=True) if sc > 0.2 and w not in doubtful][:800]
+                hard += [w for w, sc in zip(unusual, worst, strict=True) if sc > 0.2 and w not in doubtful][:most_hard]
     return model, _threshold(model, docs, y)
 
 
@@ -161,11 +177,44 @@ def _threshold(model: WindowClassifier, docs: list[list[tuple[str, ...]]], y: np
     return float(np.clip((above + below) / 2, 0.3, 0.8))
 
 
+class Committee:
+    """Networks that differ in their first weights only, and the score from which a document counts as abusive: what a single one takes from chance the others don't share."""
+
+    def __init__(self, models: list[WindowClassifier], threshold: float, sure: float = 0.2):
+        self.models, self.threshold, self.sure = models, threshold, sure
+
+    def score(self, windows: list[list[str]]) -> np.ndarray:
+        """Mean of the networks' probabilities. A window that the first network holds under ``sure`` has that network's share only; no mean of it could reach a threshold of 2/3 or more by much."""
+        first = self.models[0].score(windows)
+        open_ = np.flatnonzero(first >= self.sure)
+        out = first / len(self.models)
+        if len(open_):
+            chosen = [windows[i] for i in open_]
+            out[open_] = np.mean([first[open_], *(m.score(chosen) for m in self.models[1:])], axis=0)
+        return out
+
+
+def fitted(spark: SparkSession, texts: list[str], labels: list[int], common: set[str], networks: int = 3) -> Committee:
+    """A committee of ``networks`` classifiers on one labelled sample, each trained in a task of its own."""
+    shared = spark.sparkContext.broadcast((texts, labels, common))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                model, threshold = train(*shared.value, seed=7 + k)
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([pickle.dumps(model)], pa.binary()), pa.array([threshold])], names=["k", "model", "threshold"])
+
+    done = spark.range(0, networks, numPartitions=networks).mapInArrow(run, "k long, model binary, threshold double").orderBy("k").collect()
+    return Committee([pickle.loads(bytes(r["model"])) for r in done], float(np.mean([r["threshold"] for r in done])))
+
+
 def labelled_sample(documents: DataFrame, labels: DataFrame, most: int = 5000) -> tuple[list[str], list[int]]:
     """Texts and labels to fit on: at most ``most`` labelled documents, chosen by hash of the id. Several judgements of one document count as their majority."""
     judged = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.avg("toxic").alias("toxic"))
-    rows = documents.where("text IS NOT NULL").select("doc_id", "text").join(judged, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    found = with_canonical_lines(rows).select("text", "toxic").collect()
+    known = documents.where("text IS NOT NULL").select("doc_id").join(judged, "doc_id")
+    chosen = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))  # ids and labels only
+    rows = documents.where("text IS NOT NULL").select("doc_id", "text").join(chosen.dropDuplicates(["doc_id"]), "doc_id")
+    found = sorted(with_canonical_lines(rows).select("doc_id", "text", "toxic").collect())
     return [r["text"] for r in found], [int(r["toxic"] > 0.5) for r in found]
 
 
@@ -190,22 +239,26 @@ def common_words(documents: DataFrame, least_share: float = 0.003) -> set[str]:
 def abuse_scores(documents: DataFrame, labels: DataFrame, most_labels: int = 5000) -> DataFrame:
     """(doc_id, source, score, flagged, n_windows, passage): every document once per row of the input, with the score of its worst window.
 
-    The network is fitted on at most ``most_labels`` labelled documents; all
+    The networks are fitted on at most ``most_labels`` labelled documents; all
     windows of all documents are scored, whole texts, in one narrow Arrow map.
-    Equal windows of a batch are scored once. NULL and empty texts score 0.
+    Equal windows are scored once in a task, as far as
+    its memory of them goes. NULL and empty texts score 0.
     """
-    model, threshold = train(*labelled_sample(documents, labels, most_labels), common_words(documents))
     spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast((model, threshold))
+    shared = spark.sparkContext.broadcast(fitted(spark, *labelled_sample(documents, labels, most_labels), common_words(documents)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, least = shared.value
+        net = shared.value
+        least = net.threshold
+        score: dict[tuple[str, ...], float] = {}
         for big in batches:
             for k in range(0, big.num_rows, 2000):
                 batch = big.slice(k, 2000)
                 docs = [windows_of(t) for t in batch.column(2).to_pylist()]
-                distinct = list({w: None for d in docs for w in d})
-                score = dict(zip(distinct, net.score([list(w) for w in distinct]).tolist(), strict=True))
+                if len(score) > 200_000:
+                    score.clear()
+                new = list({w: None for d in docs for w in d if w not in score})
+                score |= zip(new, net.score([list(w) for w in new]).tolist(), strict=True)
                 worst = [max(d, key=score.__getitem__) if d else () for d in docs]
                 s = [score[w] if w else 0.0 for w in worst]
                 yield pa.RecordBatch.from_arrays(
@@ -213,7 +266,7 @@ def abuse_scores(documents: DataFrame, labels: DataFrame, most_labels: int = 500
                     names=["doc_id", "source", "score", "flagged", "n_windows", "passage"],
                 )
 
-    docs = with_canonical_lines(documents.select("doc_id", "source", "text").repartition(4 * cores_of(spark))).select("doc_id", "source", "text")
+    docs = with_canonical_lines(documents.select("doc_id", "source", "text")).select("doc_id", "source", "text")
     return docs.mapInArrow(run, "doc_id long, source string, score double, flagged boolean, n_windows int, passage string")
 
 

@@ -91,7 +91,11 @@ class BiGRUAttention:
 
 
 class WindowClassifier:
-    """Probability that a window of words is a positive, from word and character inputs."""
+    """Probability that a window of words is a positive, from word and character inputs.
+
+    Words have at most ``word_chars`` letters; whoever cuts a text into words
+    divides longer ones (``abuse.plain_words`` does), so no letter goes unread.
+    """
 
     def __init__(self, vocabulary: list[str], alphabet: str, seed: int = 7, word_dim: int = 24, char_dim: int = 12, char_hidden: int = 12, hidden: int = 24, word_chars: int = 16):
         rng = np.random.default_rng(seed)
@@ -109,6 +113,20 @@ class WindowClassifier:
         named = {"words": self.words, "chars": self.chars, "ow": self.out["w"], "ob": self.out["b"]}
         return named | {f"c_{k}": v for k, v in self.char_net.p.items()} | {f"w_{k}": v for k, v in self.word_net.p.items()}
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("known", "vectors")}
+
+    def _vectors(self, words: list[str], most: int = 100_000) -> tuple[dict[str, int], np.ndarray]:
+        """(row of each word, table of word and character vectors), kept between calls until the next training step or until ``most`` words are known."""
+        if len(self.__dict__.get("known", ())) > most or "known" not in self.__dict__:
+            self.known, self.vectors = {}, np.zeros((0, self.words.shape[1] + 2 * self.char_net.hidden), np.float32)
+        new = [w for w in words if w not in self.known]
+        if new:
+            self.known |= {w: len(self.vectors) + i for i, w in enumerate(new)}
+            rows = np.concatenate([self.words[[self.word_id.get(w, 0) for w in new]], self.encode_words(new)], axis=1)
+            self.vectors = np.concatenate([self.vectors, rows])
+        return self.known, self.vectors
+
     def _chars(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = np.zeros((self.word_chars, len(words)), np.int64)
         for j, w in enumerate(words):
@@ -140,9 +158,7 @@ class WindowClassifier:
         """Probability of each (non-empty) window; windows are batched by length."""
         if not windows:
             return np.zeros(0, np.float32)
-        distinct, _, _ = (sorted({x for w in windows for x in w}), None, None)
-        index = {w: i for i, w in enumerate(distinct)}
-        table = np.concatenate([self.words[[self.word_id.get(w, 0) for w in distinct]], self.encode_words(distinct)], axis=1)
+        index, table = self._vectors(sorted({x for w in windows for x in w}))
         order = sorted(range(len(windows)), key=lambda i: len(windows[i]))
         out = np.zeros(len(windows), np.float32)
         for k in range(0, len(order), batch):
@@ -184,6 +200,7 @@ class WindowClassifier:
         return loss, g
 
     def adam(self, g: dict, state: dict, rate: float) -> None:
+        self.__dict__.pop("known", None)
         state["t"] = t = state.get("t", 0) + 1
         norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
         clip = min(1.0, 5.0 / (norm + 1e-9))
