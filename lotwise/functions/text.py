@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lotwise.functions.reference_values import ADDRESS_WORDS, CHECK_HOURS, COUNTRIES, DEFAULT_HOURS
+from lotwise.functions.urls import domain
+
 # Words that hint at a language.
 LANGUAGE_HINTS = {
     "de": (" und ", " der ", " mit ", "gebraucht", "verkauf"), "fr": (" et ", " avec ", " occasion", " vendre", " voiture"), "it": (" e ", " con ", " usata", " vendita", " auto "),
@@ -112,11 +115,17 @@ def to_eur(amount: Column, currency: Column) -> Column:
     return F.bround((amount.cast("decimal(18,4)") * rate.cast("decimal(10,4)")), 2).cast("double")
 
 
+# The units of mileage, power and displacement, and the digits they may follow, that FN-N06 .. FN-N09 must read alike.
+MILEAGE_PATTERN = r"(\d[\d.,\s]{1,9}\d|\d{2,7})\s*(km|tkm|miles|mi\b|000\s*km)"
+KW_PATTERN, HP_PATTERN = r"(\d{2,3})\s*kw", r"(\d{2,3})\s*(?:ps|hp|cv|ch|pk|bhp)\b"
+YEAR_PATTERN = r"((?:19|20)\d{2})"
+CC_PATTERN, LITRE_PATTERN = r"(\d{3,4})\s*(?:cc|ccm|cm3|cm³)", r"\b(\d[.,]\d)\s*l?\b"
+
+
 def parse_mileage(c: Column) -> Column:
     """FN-N06: the first number with a distance unit, as kilometres."""
     low = F.replace(F.lower(c), F.lit(" "), F.lit(" "))
-    pattern = r"(\d[\d.,\s]{1,9}\d|\d{2,7})\s*(km|tkm|miles|mi\b|000\s*km)"
-    n, unit = to_number(F.regexp_extract(low, pattern, 1)), F.regexp_extract(low, pattern, 2)
+    n, unit = to_number(F.regexp_extract(low, MILEAGE_PATTERN, 1)), F.regexp_extract(low, MILEAGE_PATTERN, 2)
     km = n * F.when(unit == "tkm", 1000.0).when(unit.startswith("mi"), 1.60934).otherwise(1.0)
     return F.when(km.between(0, 1_000_000), F.bround(km).cast("int"))
 
@@ -124,26 +133,83 @@ def parse_mileage(c: Column) -> Column:
 def parse_power(c: Column) -> Column:
     """FN-N07: struct(kw, hp); a missing one is converted from the other."""
     low = F.replace(F.lower(c), F.lit(" "), F.lit(" "))
-    kw = F.regexp_extract(low, r"(\d{2,3})\s*kw", 1).try_cast("int")
-    hp = F.regexp_extract(low, r"(\d{2,3})\s*(?:ps|hp|cv|ch|pk|bhp)\b", 1).try_cast("int")
+    kw = F.regexp_extract(low, KW_PATTERN, 1).try_cast("int")
+    hp = F.regexp_extract(low, HP_PATTERN, 1).try_cast("int")
     kw2 = F.coalesce(kw, F.bround(hp / 1.35962).cast("int"))
     return F.struct(kw2.alias("kw"), F.coalesce(hp, F.bround(kw * 1.35962).cast("int")).alias("hp"))
 
 
 def parse_year(c: Column, as_of_year: int) -> Column:
     """FN-N08: the earliest plausible year, 1990 to the year after ``as_of_year``."""
-    years = F.transform(F.regexp_extract_all(c, F.lit(r"((?:19|20)\d{2})"), F.lit(1)), lambda y: y.cast("int"))
+    years = F.transform(F.regexp_extract_all(c, F.lit(YEAR_PATTERN), F.lit(1)), lambda y: y.cast("int"))
     return F.array_min(F.filter(years, lambda y: y.between(1990, as_of_year + 1)))
 
 
 def parse_displacement(c: Column) -> Column:
     """FN-N09: cubic centimetres from "1490 ccm" or "1.5 l"."""
     low = F.replace(F.lower(c), F.lit(" "), F.lit(" "))
-    cc = F.regexp_extract(low, r"(\d{3,4})\s*(?:cc|ccm|cm3|cm³)", 1).try_cast("int")
-    litre = F.regexp_replace(F.regexp_extract(low, r"\b(\d[.,]\d)\s*l?\b", 1), ",", ".").try_cast("decimal(4,1)")
+    cc = F.regexp_extract(low, CC_PATTERN, 1).try_cast("int")
+    litre = F.regexp_replace(F.regexp_extract(low, LITRE_PATTERN, 1), ",", ".").try_cast("decimal(4,1)")
     return F.coalesce(F.when(cc.between(500, 8000), cc), F.when(litre.between(0.5, 8.0), (litre * 1000).cast("int")))
 
 
+# Signs and words beside which a number is a price, and units beside which it isn't.
+PRICE_SIGNS = r"€|eur\b|euro|chf|£|gbp|zł|zl\b|pln|kč|czk|ft\b|huf|lei|ron|лв|bgn|kr\b|sek|dkk|nok"
+OTHER_UNITS = r"km|tkm|miles|mi|kw|ps|hp|cv|ccm|cc"
+LEAST_PRICE, MOST_PRICE = 100, 500_000
+_SPACED = r"\d[\d.,\s\x{a0}]*"
+_AMOUNT = _SPACED + r"\d|\d"
+
+
+def parse_price(c: Column, default_currency: Column | None = None) -> Column:
+    """FN-N03: struct(amount, currency): the largest plausible number beside a currency sign, or where no number stands beside one the largest of three digits or more; numbers with a unit of distance, power or volume don't count. The currency is the first sign's, else the default. NULL and '' give NULLs."""
+    t = F.regexp_replace(c, rf"(?i){_SPACED}\s*(?:{OTHER_UNITS})\b", " ")
+    read = lambda pattern, group: F.filter(F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(group)), lambda x: to_number(x)), lambda v: v.isNotNull())
+    beside = F.concat(read(rf"(?i)(?:{PRICE_SIGNS})\s*({_AMOUNT})", 1), read(rf"(?i)({_AMOUNT})\s*(?:{PRICE_SIGNS})", 1))
+    found = F.when(F.size(beside) > 0, beside).otherwise(read(r"(\d[\d.,\s\x{a0}]{2,}\d|\d{3,})", 1))
+    amount = F.array_max(F.filter(found, lambda v: v.between(LEAST_PRICE, MOST_PRICE)))
+    known = c.isNotNull() & (c != "")
+    currency = F.coalesce(detect_currency(c), default_currency if default_currency is not None else F.lit(None).cast("string"))
+    return F.struct(F.when(known, amount).alias("amount"), F.when(known, currency).alias("currency"))
+
+
+def coerce_km(c: Column) -> Column:
+    """FN-N10: a mileage with its unit, else all digits of the text as kilometres up to a million."""
+    digits = F.regexp_replace(c, r"\D", "").try_cast("long")
+    return F.coalesce(parse_mileage(c), F.when(digits <= 1_000_000, digits).cast("int"))
+
+
+def enriched(df, as_of_year: int):
+    """FN-N11: candidates with price, currency, mileage, year, power and displacement filled from their own text where they are NULL; known values stay."""
+    t = combined(F.col("title"), F.col("description"), F.col("raw_text"))
+    price, power = parse_price(t), parse_power(t)
+    read = {"price": price["amount"], "currency": price["currency"], "mileage_km": parse_mileage(t), "year": parse_year(t, as_of_year), "power_kw": power["kw"], "power_hp": power["hp"], "displacement_cc": parse_displacement(t)}
+    return df.withColumns({k: F.coalesce(F.col(k), v) for k, v in read.items()})
+
+
+def country_of(url: Column, text: Column) -> Column:
+    """FN-N14: struct(country, confidence) from a telephone code in the text (80), a country's name in it (70), the top-level domain (45), else NULL and 0; within a step the first in the fixed order."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    phone = phone_country(F.coalesce(text, F.lit("")))
+    address = F.coalesce(*[F.when(F.size(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w))) > 0, code) for code, words in ADDRESS_WORDS.items()])
+    tld = F.regexp_extract(domain(url), r"\.([^.]+)$", 1)
+    by_tld = F.try_element_at(F.create_map(*[F.lit(x) for c in COUNTRIES for x in (c[4], c[0])]), tld)
+    found = F.coalesce(phone, address, by_tld)
+    return F.struct(found.alias("country"), F.when(phone.isNotNull(), 80).when(address.isNotNull(), 70).when(by_tld.isNotNull(), 45).otherwise(0).alias("confidence"))
+
+
+def next_check(frequency: Column, now: Column) -> Column:
+    """FN-D01: when a source is due again; an unknown or missing frequency is every six hours."""
+    hours = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in CHECK_HOURS.items() for x in kv]), frequency), F.lit(DEFAULT_HOURS))
+    return now + F.make_interval(hours=hours)
+
+
+def call_cost(model: Column, tokens_in: Column, tokens_out: Column, prices: dict[str, tuple[float, float]]) -> Column:
+    """FN-N16: cost of a model call at prices a million tokens; the first price whose name the model's contains, NULL for unknown models."""
+    price = F.coalesce(*[F.when(F.contains(model, F.lit(k)), F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b"))) for k, (a, b) in prices.items()])
+    return F.round(tokens_in / 1e6 * price["a"] + tokens_out / 1e6 * price["b"], 6)
+
+
 def band(c: Column, size: int) -> Column:
     """FN-N12: number of the band of ``size``, halves to even."""
     return F.bround(c.cast("decimal(18,4)") / size).cast("long")

@@ -70,6 +70,28 @@ def normalize(url: Column) -> Column:
     return F.when(F.trim(url) == "", url).otherwise(whole)
 
 
+def resolve(base: Column, href: Column) -> Column:
+    """FN-U09: ``href`` as seen from the page ``base``: absolute, scheme-less, from the root, relative with . and .. or a query or fragment only. NULL or '' gives the base."""
+    h, root = F.trim(href), F.concat(scheme(base), F.lit("://"), F.regexp_extract(base, r"//([^/?#]*)", 1))
+    without = F.regexp_replace(base, r"#.*$", "")
+    folder = F.regexp_replace(path(base), r"[^/]*$", "")
+    joined = F.concat(F.when(folder == "", "/").otherwise(folder), h)
+    whole = F.when(h.startswith("/"), h).otherwise(joined)
+    tail = F.regexp_extract(whole, r"^[^?#]*(.*)$", 1)
+    steps = F.split(F.regexp_extract(whole, r"^/?([^?#]*)", 1), "/")
+    walk = F.aggregate(steps, F.array().cast("array<string>"), lambda at, x: F.when(x == ".", at).when(x == "..", F.slice(at, 1, F.greatest(F.size(at) - 1, F.lit(0)))).otherwise(F.concat(at, F.array(x))))
+    closing = F.when(F.element_at(steps, -1).isin(".", "..") & (F.size(walk) > 0), "/").otherwise("")
+    local = F.concat(root, F.lit("/"), F.array_join(walk, "/"), closing, tail)
+    return (
+        F.when(href.isNull() | (h == ""), base)
+        .when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), h)
+        .when(h.startswith("//"), F.concat(scheme(base), F.lit(":"), h))
+        .when(h.startswith("#"), F.concat(without, h))
+        .when(h.startswith("?"), F.concat(F.regexp_replace(without, r"\?.*$", ""), h))
+        .otherwise(local)
+    )
+
+
 def is_specific(url: Column) -> Column:
     """FN-U05: has a path or a query. NULL and '' are not specific."""
     return F.coalesce((F.regexp_replace(path(url), "/", "") != "") | (query(url) != ""), F.lit(False))

@@ -40,7 +40,7 @@ def by_status(hits: DataFrame, statuses: list[str]) -> DataFrame:
 
 def coverage(countries: DataFrame, sources: DataFrame) -> DataFrame:
     """JN08, AG03: every country once with its sources, healthy ones and kinds; countries without sources have zeros."""
-    agg = sources.groupBy("country").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("health") == "ok").alias("healthy"), F.count_distinct("source_type").alias("kinds"))
+    agg = sources.groupBy("country").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("health") == "healthy").alias("healthy"), F.count_distinct("source_type").alias("kinds"))
     return countries.join(agg, "country", "left").fillna(0, ["n", "healthy", "kinds"])
 
 

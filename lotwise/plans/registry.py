@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotwise.plans import function_queries, relational_queries, units_queries  # noqa: F401  (registers its queries)
+from lotwise.plans import function_queries, relational_queries, survey_queries, units_queries  # noqa: F401  (registers its queries)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

@@ -47,7 +47,7 @@ def ag06(s, d):
 
 @query(
     "jn08_country_coverage",
-    """WITH c AS (SELECT DISTINCT country FROM raw_listings WHERE country IS NOT NULL), a AS (SELECT country, count(*) AS n, count_if(health = 'ok') AS healthy, count(DISTINCT source_type) AS kinds FROM sources GROUP BY 1)
+    """WITH c AS (SELECT DISTINCT country FROM raw_listings WHERE country IS NOT NULL), a AS (SELECT country, count(*) AS n, count_if(health = 'healthy') AS healthy, count(DISTINCT source_type) AS kinds FROM sources GROUP BY 1)
 SELECT c.country, coalesce(n, 0) AS n, coalesce(healthy, 0) AS healthy, coalesce(kinds, 0) AS kinds FROM c LEFT JOIN a USING (country)""",
 )
 def jn08(s, d):
@@ -63,9 +63,9 @@ def jn09(s, d):
     return hits.gaps(table(s, d, "sources"), KINDS)
 
 
-@query("jn05_unknown_domains", "SELECT domain, count(*) AS n FROM search_hits WHERE domain IS NOT NULL AND domain NOT IN (SELECT domain FROM sources) GROUP BY 1")
+@query("jn05_unknown_domains", "SELECT domain, count(*) AS n FROM search_hits WHERE domain IS NOT NULL AND domain NOT IN (SELECT domain FROM sources WHERE active) GROUP BY 1")
 def jn05(s, d):
-    return hits.unknown_domains(table(s, d, "search_hits"), table(s, d, "sources"))
+    return hits.unknown_domains(table(s, d, "search_hits"), table(s, d, "sources").where("active"))
 
 
 @query(
@@ -211,8 +211,9 @@ def jn12(s, d):
 )
 def jn12_members(s, d):
     h = hashes(s, d).select("vec_id", "hash")
-    first = h.agg(F.min_by("hash", "vec_id").alias("hash"))
-    return dedup.hash_members(h.union(h.where("vec_id % 2 = 0").select(F.col("vec_id") + 2_000_000).crossJoin(F.broadcast(first))), "vec_id", "hash")
+    first = h.orderBy("vec_id").limit(1).collect()
+    copies = h.where("vec_id % 2 = 0").select(F.col("vec_id") + 2_000_000, F.lit(first[0]["hash"] if first else None).alias("hash"))
+    return dedup.hash_members(h.union(copies), "vec_id", "hash")
 
 
 @query("so02_newest_listings", "SELECT listing_id, first_seen_at FROM listings ORDER BY first_seen_at DESC, listing_id DESC LIMIT 200")

@@ -21,6 +21,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, name: str =
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.host", "127.0.0.1")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -28,14 +29,17 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, name: str =
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests, local runs) a temporary folder of this machine is taken.
+    The cluster names it in ``spark.checkpoint.dir``; only where that is unset and
+    the master is local (tests, local runs) a temporary folder of this machine is
+    taken. On a cluster a folder of one machine would lose data, so that is an error.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = named or tempfile.mkdtemp(prefix="lotwise-checkpoint-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
@@ -48,8 +52,3 @@ def cut(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def cores_of(spark: SparkSession) -> int:
-    """Task slots the session says it has; used to size repartitions of CPU-bound stages."""
-    return max(1, spark.sparkContext.defaultParallelism)
