@@ -139,9 +139,10 @@ def same_item_groups(raw: DataFrame, rates: DataFrame, threshold: float = 0.9) -
     adverts = adverts.withColumn("host", F.split("advert", "#")[0])
     # one id per signature; a signature without model, size or km is its advert's own
     whole = F.col("model").isNotNull() & F.col("size").isNotNull() & F.col("km").isNotNull() & F.col("place").isNotNull() & F.col("year").isNotNull()
-    key = F.when(whole, F.xxhash64(*SIGNATURE)).otherwise(F.xxhash64(F.col("advert")))
-    adverts = cut(adverts.withColumn("sig", key))
-    sig = adverts.groupBy("sig").agg(F.min("first_id").alias("sid"), F.min("host").alias("host"), *[F.max(c).alias(c) for c in SIGNATURE])
+    # 128 bits: a signature's hash is its identity
+    key = lambda seed: F.when(whole, F.xxhash64(F.lit(seed), *SIGNATURE)).otherwise(F.xxhash64(F.lit(seed), F.lit("advert"), F.col("advert")))
+    adverts = cut(adverts.withColumns({"sig": key(1), "sig2": key(2)}))
+    sig = adverts.groupBy("sig", "sig2").agg(F.min("first_id").alias("sid"), F.min("host").alias("host"), *[F.max(c).alias(c) for c in SIGNATURE])
     blocks = _blocks(sig)
     x = blocks.select(*[F.col(c).alias(f"x_{c}") for c in ("sid", "host", *SIGNATURE)], "block")
     y = blocks.select(*[F.col(c).alias(f"y_{c}") for c in ("sid", "host", *SIGNATURE)], "block")
@@ -158,7 +159,7 @@ def same_item_groups(raw: DataFrame, rates: DataFrame, threshold: float = 0.9) -
     else:
         links = pairs.select("a", "b")
     groups = clusters(links).withColumnRenamed("cluster", "component")
-    sid = adverts.join(sig.select("sig", "sid"), "sig").join(groups.select(F.col("node").alias("sid"), "component"), "sid", "left")
+    sid = adverts.join(sig.select("sig", "sig2", "sid"), ["sig", "sig2"]).join(groups.select(F.col("node").alias("sid"), "component"), "sid", "left")
     named = sid.select("advert", F.coalesce("component", "sid").alias("item_id"))
     return rows.select("raw_id", "advert").join(named, "advert").select("raw_id", "item_id")
 
