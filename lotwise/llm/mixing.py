@@ -11,7 +11,6 @@ import base64
 import heapq
 import os
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -25,21 +24,21 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 BUCKETS = 4096
 
 
-@lru_cache(2)
-def _encoding(path: str):
+def _encoding(vocabulary: bytes):
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line.strip())}
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def with_tokens(df: DataFrame, text: str, out: str = "n_tokens", tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
-    """``df`` plus the number of tokens of ``text`` (0 for NULL and empty) in place of the text: a narrow Arrow map."""
+    """``df`` plus the number of tokens of ``text`` (0 for NULL and empty) in place of the text: a narrow Arrow map. The vocabulary file (about a megabyte) is read by the driver and sent along."""
     keep = [c for c in df.columns if c not in (text, out)]
+    with open(tokenizer, "rb") as f:
+        shared = df.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = _encoding(tokenizer)
+        encoding = _encoding(shared.value)
         for batch in batches:
             n = [len(encoding.encode_ordinary(t)) if t else 0 for t in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(n, pa.int64())], names=[*keep, out])
@@ -146,7 +145,7 @@ def _checked(targets: DataFrame, most: int = 1000) -> DataFrame:
     return good
 
 
-def mixture(documents: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 42, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
+def mixture(documents: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 42, tokenizer: str = DEFAULT_TOKENIZER, most_patterns: int = 100_000) -> DataFrame:
     """(doc_id, source, repeats, n_tokens): the chosen records, how often each is used and for which source.
 
     Each flow of pattern p to source s is a stretch of the line that p's records
@@ -154,7 +153,8 @@ def mixture(documents: DataFrame, targets: DataFrame, budget: int | None = None,
     record is used as often as it starts in the stretch. The line's offsets come
     from 4,096 hash buckets whose token sums are aggregated first, so no pattern,
     however large, is sorted in one task. Documents without text, source or target
-    take no part. An empty corpus gives no rows.
+    take no part. An empty corpus gives no rows. Records are told apart by the set of
+    sources that hold them; more than ``most_patterns`` such sets are an error.
     """
     spark = documents.sparkSession
     goal = {r["source"]: (float(r["target_share"]), int(r["max_repeats"])) for r in _checked(targets).collect()}
@@ -162,7 +162,10 @@ def mixture(documents: DataFrame, targets: DataFrame, budget: int | None = None,
     goal = {k: (s / total_share, m) for k, (s, m) in goal.items()}
     recs = cut(records(documents, targets, tokenizer).withColumn("h", F.xxhash64(F.lit(seed), "record_id")).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)).cast("int")))
     sums = recs.groupBy("pattern", "bucket").agg(F.sum("n_tokens").alias("t"))
-    patterns = {tuple(r["pattern"]): int(r["t"]) for r in sums.groupBy("pattern").agg(F.sum("t").alias("t")).collect()}  # at most one per set of sources
+    found = sums.groupBy("pattern").agg(F.sum("t").alias("t")).limit(most_patterns + 1).collect()
+    if len(found) > most_patterns:
+        raise ValueError(f"more than {most_patterns} sets of sources share records")
+    patterns = {tuple(r["pattern"]): int(r["t"]) for r in found}
     flows = plan(patterns, goal, budget) if patterns else {}
     # stretches [start, stop) of each pattern's line, one after the other
     rows, at = [], {}
