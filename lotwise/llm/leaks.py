@@ -2,9 +2,9 @@
 
 Documents stream once past a q-gram index of the (bounded) evaluation set. Shared
 character q-grams are counted in overlapping bands of diagonals; a band stays only
-where it reaches the count that the q-gram lemma demands of a stretch without
-edits; surviving bands are verified by a banded word alignment, and the words in
-long enough stretches are counted.
+where it reaches the count that the q-gram lemma demands of a stretch within the edit
+budget; surviving bands are verified by a banded alignment (word by word without
+edits, else letter by letter), and the words in long enough stretches are counted.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.llm.characters import with_canonical
+from lotwise.session import cut
 
 Q = 10  #: length of the q-grams in characters
 BAND = 32  #: width of a band of diagonals in characters; bands overlap by half
@@ -45,18 +46,40 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
 
 
+def _occurs(piece: str, text: str, edits: int) -> bool:
+    """Whether some part of ``text`` is within ``edits`` edited letters of ``piece`` (Myers' bit-parallel columns, one per letter of the text)."""
+    here: dict[str, int] = {}
+    for k, c in enumerate(piece):
+        here[c] = here.get(c, 0) | 1 << k
+    mask, last = (1 << len(piece)) - 1, 1 << (len(piece) - 1)
+    up, down, distance = mask, 0, len(piece)
+    for c in text:
+        eq = here.get(c, 0)
+        xv = eq | down
+        xh = (((eq & up) + up) ^ up) | eq
+        right, left = down | (mask & ~(xh | up)), up & xh
+        distance += bool(right & last) - bool(left & last)
+        if distance <= edits:
+            return True
+        right, left = right << 1 & mask, left << 1 & mask
+        up, down = left | (mask & ~(xv | right)), right & xv
+    return distance <= edits
+
+
 class ItemIndex:
     """q-gram index of the evaluation items, with each item's bounds from the q-gram lemma.
 
     least_region[i]: q-grams that any stretch of ``stretch`` consecutive words of
-    item i shares with its copy, n + 1 - q for the shortest such stretch of n
-    characters. least_total[i]: the same summed over stretches that together hold
+    item i shares with its copy of at most k edited letters, n + 1 - q - k q for the
+    shortest such stretch of n characters (at least one q-gram is looked for, so k
+    may be at most (n - q) / q to lose nothing). least_total[i]: the same summed over stretches that together hold
     the share of words; any stretch can be cut into pieces of one to two times the
     least length, so the poorest such piece per word bounds the sum.
     """
 
-    def __init__(self, ids: list[int], texts: list[str], share: float, stretch: int):
-        self.ids, self.share, self.stretch = np.array(ids, np.int64), share, stretch
+    def __init__(self, ids: list[int], texts: list[str], share: float, stretch: int, edits: int = 0):
+        self.ids, self.share, self.stretch, self.edits = np.array(ids, np.int64), share, stretch, edits
+        lost = Q * (1 + edits) - 1  # q-grams that a stretch of n characters may lack
         self.words = [words_of(t) for t in texts]
         vocabulary: dict[str, int] = {}
         self.coded = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in ws], np.int64) for ws in self.words]
@@ -73,9 +96,9 @@ class ItemIndex:
             ends = np.cumsum([len(w) + 1 for w in ws]) if ws else np.zeros(0, int)
             starts = ends - np.array([len(w) + 1 for w in ws]) if ws else ends
             shortest = int((ends[stretch - 1 :] - 1 - starts[: len(ws) - stretch + 1]).min()) if len(ws) >= stretch else 0
-            self.least_region[i] = max(1, shortest + 1 - Q)
+            self.least_region[i] = max(1, shortest - lost)
             self.least_words[i] = int(np.ceil(share * len(ws) - 1e-9))
-            rates = [max(0, int((ends[k - 1 :] - 1 - starts[: len(ws) - k + 1]).min()) + 1 - Q) / k for k in range(stretch, min(2 * stretch, len(ws) + 1))]
+            rates = [max(0, int((ends[k - 1 :] - 1 - starts[: len(ws) - k + 1]).min()) - lost) / k for k in range(stretch, min(2 * stretch, len(ws) + 1))]
             self.least_total[i] = max(1, int(min(rates) * self.least_words[i])) if rates else 1
         h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         order = np.argsort(h, kind="stable")
@@ -134,8 +157,24 @@ class ItemIndex:
         chosen &= able[item2]
         coded = np.array([self.vocabulary.get(w, -1) for w in words], np.int64)
         word_at = np.cumsum([0] + [len(w) + 1 for w in words])
+        if self.edits:
+            text = " ".join(words)
+            return {int(i): self._edited(text, int(i), diagonal2[chosen & (item2 == i)]) for i in np.unique(item2[chosen])}
         return {int(i): self._aligned(coded, word_at, int(i), diagonal2[chosen & (item2 == i)]) for i in np.unique(item2[chosen])}
 
+    def _edited(self, text: str, i: int, diagonals: np.ndarray) -> np.ndarray:
+        """Which words of item i stand in stretches that occur in ``text`` with at most ``edits`` edited letters, each aligned within the bands around ``diagonals`` only."""
+        words = self.words[i]
+        at = np.cumsum([0] + [len(w) + 1 for w in words])
+        covered = np.zeros(len(words), bool)
+        d = np.unique(diagonals)
+        bands = [(b[0] - BAND // 2, b[-1] + BAND // 2) for b in np.split(d, np.flatnonzero(np.diff(d) > BAND) + 1)]
+        for k in range(len(words) - self.stretch + 1):
+            piece = " ".join(words[k : k + self.stretch])
+            if any(_occurs(piece, text[max(0, at[k] + low) : max(0, at[k] + len(piece) + high + self.edits)], self.edits) for low, high in bands):
+                covered[k : k + self.stretch] = True
+        return covered
+
     def _aligned(self, doc: np.ndarray, word_at: np.ndarray, i: int, diagonals: np.ndarray) -> np.ndarray:
         """Which words of item i stand in stretches of equal consecutive words, aligned only within the bands around ``diagonals`` (character offsets)."""
         item = self.coded[i]
@@ -167,8 +206,8 @@ class ItemIndex:
         return inside & wanted[np.clip(d, 0, len(wanted) - 1)]
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, share: float = 0.4, stretch: int = 8, most_chars: int = 4_000_000) -> DataFrame:
-    """(doc_id, item_id, covered_words): every document that reproduces at least ``share`` of an item's words in stretches of ``stretch`` or more consecutive words.
+def leaked_items(documents: DataFrame, items: DataFrame, share: float = 0.4, stretch: int = 8, most_chars: int = 4_000_000, edits: int = 0) -> DataFrame:
+    """(doc_id, item_id, covered_words): every document that reproduces at least ``share`` of an item's words in stretches of ``stretch`` or more consecutive words, each with at most ``edits`` inserted, deleted or changed letters.
 
     The evaluation set is the query set: it is read to the driver in blocks of at
     most ``most_chars`` characters, one pass over the corpus per block, so its
@@ -187,18 +226,20 @@ def leaked_items(documents: DataFrame, items: DataFrame, share: float = 0.4, str
         size += len(r["text"])
     blocks.append(block)
     docs = with_canonical(documents.select("doc_id", "text"), "text", "text")
+    if len(blocks) > 1:
+        docs = cut(docs)
     out = None
     for block in blocks:
-        found = _scan(docs, block, share, stretch)
+        found = _scan(docs, ItemIndex([i for i, _ in block], [t for _, t in block], share, stretch, edits))
         out = found if out is None else out.union(found)
     return out
 
 
-def _scan(docs: DataFrame, block: list[tuple[int, str]], share: float, stretch: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(block)
+def _scan(docs: DataFrame, index: ItemIndex) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = ItemIndex([i for i, _ in shared.value], [t for _, t in shared.value], share, stretch)
+        index = shared.value
         for batch in batches:
             found = [(d, i, c) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for i, c in index.leaks(words_of(t))]
             cols = list(zip(*found)) or [(), (), ()]
