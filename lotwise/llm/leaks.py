@@ -21,6 +21,7 @@ from lotwise.llm.characters import with_canonical
 from lotwise.session import cut
 
 Q = 10  #: length of the q-grams in characters
+LONG = 20_000  #: words from which a document is read in pieces
 BAND = 32  #: width of a band of diagonals in characters; bands overlap by half
 _WORD = re.compile(r"[^\W_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -107,7 +108,32 @@ class ItemIndex:
         self.keys, first = np.unique(h[order], return_index=True)
         self.first = np.append(first, len(h)).astype(np.int64)
 
-    def leaks(self, words: list[str], piece: int = 20_000) -> list[tuple[int, int]]:
+    def _bits(self) -> np.ndarray:
+        """Which of 2^22 buckets any q-gram of the items falls into: most q-grams of a corpus are told apart without a search."""
+        if "bits" not in self.__dict__:
+            self.bits = np.zeros(1 << 22, bool)
+            self.bits[(self.keys & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+        return self.bits
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "bits"}
+
+    def likely(self, docs: list[list[str]]) -> list[int]:
+        """Which of some documents share as many q-grams with all items together as the easiest item demands; the others can't leak. All are hashed in one go."""
+        if not len(self.keys):
+            return []
+        texts = [" ".join(ws) for ws in docs]
+        codes = _codes("\n".join(texts))
+        h = _qgrams(codes)
+        near = np.flatnonzero(self._bits()[(h & np.uint64((1 << 22) - 1)).astype(np.int64)])
+        at = np.searchsorted(self.keys, h[near])
+        at[at == len(self.keys)] = 0
+        hit = near[self.keys[at] == h[near]]
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        count = np.bincount(np.searchsorted(ends, hit, side="right"), minlength=len(docs))
+        return np.flatnonzero(count >= self.least_total.min()).tolist()
+
+    def leaks(self, words: list[str], piece: int = LONG) -> list[tuple[int, int]]:
         """(item id, words of the item reproduced in long stretches) of one document.
 
         Texts of more than ``piece`` words are read in pieces that overlap by more
@@ -241,7 +267,28 @@ def _scan(docs: DataFrame, index: ItemIndex) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
-            found = [(d, i, c) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for i, c in index.leaks(words_of(t))]
+            found: list[tuple[int, int, int]] = []
+            ids: list[int] = []
+            docs: list[list[str]] = []
+            size = 0
+
+            def flush() -> None:
+                found.extend((ids[k], i, c) for k in index.likely(docs) for i, c in index.leaks(docs[k]))
+                ids.clear(), docs.clear()
+
+            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if not t:
+                    continue
+                ws = words_of(t)
+                if len(ws) > LONG:  # read in pieces
+                    found.extend((d, i, c) for i, c in index.leaks(ws, LONG))
+                    continue
+                ids.append(d), docs.append(ws)
+                size += len(t)
+                if size > 1_000_000:
+                    flush()
+                    size = 0
+            flush()
             cols = list(zip(*found)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], names=["doc_id", "item_id", "covered_words"])
 
