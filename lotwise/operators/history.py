@@ -58,11 +58,11 @@ def latest(obs: DataFrame, key: str, at: str, tie: str, values: list[str]) -> Da
 def smoothed(log: DataFrame, key: str, at: str, tie: str, value: str, keep: float = 0.7, digits: int = 3, start: float = 0.0) -> DataFrame:
     """WN05, SC09: exponential average per key, rounded half to even at each step (0 digits: the typical result count), and the number of values; keys without a known value give no row.
 
-    Rounding at each step makes the fold sequential, but only the last steps
-    matter: with ``keep`` < 1 what came before the last few dozen values has faded
-    below half a unit of the rounding; all are folded nevertheless. Rows are sorted by Spark (on disk where a
-    key is large) and folded in Arrow batches with one number of state per key, so
-    no key's rows are gathered.
+    Rounding at each step makes the fold sequential: no window or tree of partial
+    sums gives the same. Spark sorts the rows of each partition (on disk where they
+    are many), and they pass in Arrow batches with one number of state, so that no
+    key's rows are ever gathered. A key is folded in one task; it is the only work
+    that a hot key makes.
     """
     rows = log.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(at).alias("t"), F.col(tie).alias("i"), F.col(value).cast("double").alias("v"))
     placed = rows.repartition("k").sortWithinPartitions("k", "t", "i").select("k", "v")

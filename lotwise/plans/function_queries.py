@@ -46,10 +46,11 @@ def fn_u02(s, d):
     return table(s, d, "listings").select("listing_id", U.stable_id(F.col("listing_url")).alias("h"))
 
 
+_DECODED = rf"list_transform(list_filter(string_split({_QUERY}, '&'), lambda x: regexp_matches(x, '^[^=]+=.+')), lambda x: [url_decode(replace(regexp_extract(x, '^([^=]*)', 1), '+', ' ')), url_decode(replace(regexp_extract(x, '^[^=]*=(.*)$', 1), '+', ' '))])"
+_KEPT = rf"list_sort(list_filter({_DECODED}, lambda x: NOT regexp_matches(lower(x[1]), '{U.TRACKING}')))"
 _NORM = rf"""CASE WHEN trim({{u}}) = '' THEN {{u}} ELSE coalesce(nullif(lower(regexp_extract(trim({{u}}), '^([A-Za-z][A-Za-z0-9+.\-]*)://', 1)), ''), 'https') || '://' || {_HOST}
  || CASE WHEN regexp_replace({_PATH}, '/+$', '') = '' THEN '/' ELSE regexp_replace({_PATH}, '/+$', '') END
- || CASE WHEN len(list_filter(string_split({_QUERY}, '&'), lambda x: regexp_matches(x, '^[^=]+=.+') AND NOT regexp_matches(lower(regexp_extract(x, '^([^=]*)', 1)), '{U.TRACKING}'))) > 0
- THEN '?' || array_to_string(list_sort(list_filter(string_split({_QUERY}, '&'), lambda x: regexp_matches(x, '^[^=]+=.+') AND NOT regexp_matches(lower(regexp_extract(x, '^([^=]*)', 1)), '{U.TRACKING}'))), '&') ELSE '' END END"""
+ || CASE WHEN len({_KEPT}) > 0 THEN '?' || array_to_string(list_transform({_KEPT}, lambda x: replace(url_encode(x[1]), '%20', '+') || '=' || replace(url_encode(x[2]), '%20', '+')), '&') ELSE '' END END"""
 
 
 @query("fn_u03_normalize_url", f"SELECT hit_id, {_NORM.format(u='exact_url')} AS url FROM search_hits")

@@ -226,7 +226,7 @@ def so05(s, d):
     return table(s, d, "sources").where("active").orderBy(F.desc_nulls_last("priority"), "source_id").limit(50).select("source_id", "domain", "priority")
 
 
-@query("ag16_best_per_country", "SELECT country, arg_max(source_id, (discovery_value, -source_id)) AS source_id FROM sources WHERE country IS NOT NULL AND discovery_value IS NOT NULL GROUP BY 1")
+@query("ag16_best_source", "SELECT country, arg_max(source_id, (discovery_value, -source_id)) AS source_id FROM sources WHERE country IS NOT NULL AND discovery_value IS NOT NULL GROUP BY 1")
 def ag16(s, d):
     best = F.max_by("source_id", F.struct("discovery_value", -F.col("source_id")))
     return table(s, d, "sources").where("country IS NOT NULL AND discovery_value IS NOT NULL").groupBy("country").agg(best.alias("source_id"))

@@ -20,20 +20,23 @@ def counts_by_window(stream: DataFrame, at: str, key: str, width: str = "1 day",
     return stream.withWatermark(at, late).groupBy(F.window(at, width).alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), key, "n")
 
 
-def value_changes(stream: DataFrame, key: str, at: str, value: str, least: float = 1.0) -> DataFrame:
-    """(key, at, old_value, new_value) whenever a known value differs from the last known one of its key, in order of arrival and, within a batch, of time. State per key: one number."""
+def value_changes(stream: DataFrame, key: str, at: str, value: str, least: float = 1.0, late: str = "30 days", keep: str = "365 days") -> DataFrame:
+    """(key, at, old_value, new_value) whenever a known value differs from the last known one of its key, in order of arrival and, within a batch, of time. State per key: one number, forgotten when the watermark is ``keep`` past the key's last row."""
+    kept_ms = int(pd.Timedelta(keep).total_seconds() * 1000)
     schema = f"{key} long, {at} timestamp, old_value double, new_value double"
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).dropna(subset=[value]).sort_values(at)
-        out = []
-        for t, v in zip(rows[at], rows[value], strict=True):
-            if last is not None and abs(v - last) >= least:
-                out.append((k[0], t, last, v))
-            last = v
-        if last is not None:
-            state.update((float(last),))
-        yield pd.DataFrame(out, columns=[key, at, "old_value", "new_value"])
-
-    return stream.select(key, at, value).groupBy(key).applyInPandasWithState(step, schema, "last double", "append", GroupStateTimeout.NoTimeout)
+        rows = pd.concat(list(batches)).dropna(subset=[value]).sort_values(at, kind="stable")
+        if not rows.empty:
+            before = rows[value].shift(fill_value=float("nan") if last is None else last)
+            moved = (rows[value] - before).abs() >= least
+            state.update((float(rows[value].iloc[-1]),))
+            state.setTimeoutTimestamp(max(int(rows[at].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + kept_ms)
+            out = pd.DataFrame({key: k[0], at: rows[at], "old_value": before, "new_value": rows[value]})
+            yield out[moved]
+
+    return stream.withWatermark(at, late).select(key, at, value).groupBy(key).applyInPandasWithState(step, schema, "last double", "append", GroupStateTimeout.EventTimeTimeout)
