@@ -95,6 +95,17 @@ UNION ALL SELECT dup_group_id, 'first_seen_at', listing_id FROM f) x USING (dup_
 )
 
 
+_TEXTS = ("title", "make", "model", "country", "city", "seller_type", "seller_name", "vin_public")
+_KNOWN = {f: f"{f} IS NOT NULL" + (f" AND trim({f}) <> ''" if f in _TEXTS else "") for f in MERGED}
+P2_MERGED_SQL = (
+    "WITH r AS (SELECT l.*, m.dup_group_id FROM listings l JOIN (SELECT DISTINCT listing_id, dup_group_id FROM listing_groups WHERE dup_group_id IS NOT NULL) m USING (listing_id)) SELECT dup_group_id, count(*) AS n_members, "
+    + " + ".join(f"CAST(count_if({c}) > 0 AS INTEGER)" for c in _KNOWN.values())
+    + " AS n_known, "
+    + ", ".join(f"first({f} ORDER BY last_seen_at DESC NULLS LAST, listing_id) FILTER ({c}) AS {f}" for f, c in _KNOWN.items())
+    + " FROM r GROUP BY 1"
+)
+
+
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     return pages.labelled_pages(table(spark, d, "fetch_results"), table(spark, d, "raw_listings"))
 
@@ -171,4 +182,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND_SQL, "p1_classes": P1_CLASSES_SQL, "p1_canonical": P1_CANONICAL_SQL, "p2_found": P2_FOUND_SQL, "p2_survivors": P2_SURVIVORS_SQL}
+    return {"p1_found": P1_FOUND_SQL, "p1_classes": P1_CLASSES_SQL, "p1_canonical": P1_CANONICAL_SQL, "p2_found": P2_FOUND_SQL, "p2_survivors": P2_SURVIVORS_SQL, "p2_merged": P2_MERGED_SQL}
