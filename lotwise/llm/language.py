@@ -26,9 +26,11 @@ _SENTENCE = re.compile(r"(?<=[.!?…])[\"'»)]*\s+|\n+")
 _LETTERS = re.compile(r"[^\W\d_]{2,}")
 _DIGITS = re.compile(r"\d[\d.,'’  ]*")
 _CODE = re.compile(r"(?:\b(?:Ref|ID|Nr|No)\b\.?|[#(])\s*[A-Z0-9]{3,6}\)?|\b(?=[A-Z]*\d)(?=\d*[A-Z])[A-Z0-9]{4,6}\b")
+_DIGIT = re.compile(r"\d")
 _MARKED = re.compile(r"[\d#]|\b(?:Ref|ID|Nr|No)\b")
 LEVEL = 1
 SURE = 0.4  #: confidence from which a segment alone establishes a language of its text
+SECOND = 0.65  #: the same for a further language beside a surer one, if the segment has numbers or fewer than six words: lists of facts share words across languages
 
 
 def label_code(label: Column) -> Column:
@@ -171,6 +173,7 @@ def segment_languages(texts: DataFrame, classifier: Classifier | dict[str, bytes
                 seen.clear()
             for text in batch.column(2).to_pylist():
                 found: dict[str, float] = {}
+                further: set[str] = set()
                 rows = []
                 for s in segments_of(text):
                     if s not in seen:
@@ -182,8 +185,11 @@ def segment_languages(texts: DataFrame, classifier: Classifier | dict[str, bytes
                     rows.append({"segment": s, "lang": lang, "confidence": sure})
                     if lang and s.count(" ") + 1 >= net.sentence_words:
                         found[lang] = max(sure, found.get(lang, 0.0))
+                        if sure >= SECOND or (sure >= SURE and not _DIGIT.search(s) and len(_LETTERS.findall(s)) >= 6):
+                            further.add(lang)
                 # a language needs one sure segment, or to be the likeliest of a text that has none
-                decided = [x for x, sure in found.items() if sure >= SURE] or sorted(found, key=lambda x: -found[x])[:1]
+                first = sorted(found, key=lambda x: (-found[x], x))[:1]
+                decided = first + [x for x in further if x not in first]
                 langs.append(sorted(decided))
                 segs.append(rows)
             kind = pa.list_(pa.struct([("segment", pa.string()), ("lang", pa.string()), ("confidence", pa.float64())]))
