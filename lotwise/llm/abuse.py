@@ -194,17 +194,49 @@ class Committee:
         return out
 
 
-def fitted(spark: SparkSession, texts: list[str], labels: list[int], common: set[str], networks: int = 3) -> Committee:
-    """A committee of ``networks`` classifiers on one labelled sample, each trained in a task of its own."""
-    shared = spark.sparkContext.broadcast((texts, labels, common))
+def _best(model: WindowClassifier, texts: list[str]) -> np.ndarray:
+    """Score of the worst window of each text."""
+    docs = [windows_of(t) for t in texts]
+    scores = iter(model.score([list(w) for d in docs for w in d]).tolist())
+    return np.array([max((next(scores) for _ in d), default=0.0) for d in docs])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def fitted(spark: SparkSession, texts: list[str], labels: list[int], common: set[str], networks: int = 3, believed: float = 0.5, denied: float = 0.9, least_share: float = 0.6) -> Committee:
+    """A committee of ``networks`` classifiers on one labelled sample, each trained in a task of its own.
+
+    Labels are partly wrong, and a network learns a wrong one by heart. So each
+    label is first judged by a network that hasn't seen it: positives that score
+    under ``believed`` and negatives that score over ``denied`` there are left out
+    of the final fit. Judges that believe less than ``least_share`` of the positives
+    know too little of the language of abuse to judge; then all labels are taken.
+    """
+    order = np.random.default_rng(3).permutation(len(texts))
+    fold = np.empty(len(texts), np.int64)
+    fold[order] = np.arange(len(texts)) % networks
+    shared = spark.sparkContext.broadcast((texts, labels, common, fold))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, labels, common, fold = shared.value
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                inside, outside = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+                model, _ = train([texts[i] for i in inside], [labels[i] for i in inside], common, seed=7 + k)
+                yield pa.RecordBatch.from_arrays([pa.array(outside), pa.array(_best(model, [texts[i] for i in outside]), pa.float64())], names=["i", "score"])
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, labels, common, _ = shared.value
+        chosen = kept.value
         for batch in batches:
             for k in batch.column(0).to_pylist():
-                model, threshold = train(*shared.value, seed=7 + k)
+                model, threshold = train([texts[i] for i in chosen], [labels[i] for i in chosen], common, seed=7 + k)
                 yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([pickle.dumps(model)], pa.binary()), pa.array([threshold])], names=["k", "model", "threshold"])
 
-    done = spark.range(0, networks, numPartitions=networks).mapInArrow(run, "k long, model binary, threshold double").orderBy("k").collect()
+    seeds = spark.range(0, networks, numPartitions=networks)
+    judged = {r["i"]: r["score"] for r in seeds.mapInArrow(judge, "i long, score double").collect()}
+    sound = [i for i, y in enumerate(labels) if (judged[i] >= believed if y else judged[i] < denied)]
+    able = sum(labels[i] for i in sound) >= max(1, least_share * sum(labels))
+    kept = spark.sparkContext.broadcast(sound if able else list(range(len(labels))))
+    done = seeds.mapInArrow(fit, "k long, model binary, threshold double").orderBy("k").collect()
     return Committee([pickle.loads(bytes(r["model"])) for r in done], float(np.mean([r["threshold"] for r in done])))
 
 
