@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.functions import reference_values as V
-from lotwise.functions.text import all_hits, next_check
+from lotwise.functions.text import next_check
 from lotwise.functions.urls import domain, is_specific, pick_canonical
 from lotwise.operators.readside import _n
 
@@ -15,6 +15,11 @@ def _says(text: Column, marks: tuple[str, ...]) -> Column:
     return F.exists(F.array(*[F.lit(m) for m in marks]), lambda m: F.contains(text, m))
 
 
+def _once(value: Column, f) -> Column:
+    """f(value), with ``value`` worked out once a row however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def is_platform(dom: Column) -> Column:
     """CL07: a big platform by a part of its name or by its whole domain; NULL isn't one."""
     return F.coalesce(_says(dom, V.PLATFORMS) | dom.isin(*V.BIG_DOMAINS), F.lit(False))
@@ -23,14 +28,18 @@ def is_platform(dom: Column) -> Column:
 def site_category(dom: Column, text: Column) -> Column:
     """CL06: struct(category, relevance, monitorable, signals): terms of markets make a site worth watching, also beside terms of other trades (55 instead of 70); else it only serves discovery (30 with such terms, 40 without any). signals are the first four terms found."""
     blob = F.lower(F.concat(F.lit(" "), F.coalesce(F.nullif(domain(dom), F.lit("")), dom), F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" ")))
-    other, market = all_hits(blob, V.DISCOVERY_TERMS), all_hits(blob, V.MARKET_TERMS)
-    sells, else_ = F.size(market) > 0, F.size(other) > 0
-    return F.struct(
-        F.when(sells, "MONITORABLE_VEHICLE_SOURCE").otherwise("DISCOVERY_ONLY_SOURCE").alias("category"),
-        F.when(sells & ~else_, 70).when(sells, 55).when(else_, 30).otherwise(40).alias("relevance"),
-        sells.alias("monitorable"),
-        F.slice(F.when(sells, market).otherwise(other), 1, 4).alias("signals"),
-    )
+    found = lambda b, terms: F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(b, t))
+
+    def judged(h: Column) -> Column:
+        sells, else_ = F.size(h["market"]) > 0, F.size(h["other"]) > 0
+        return F.struct(
+            F.when(sells, "MONITORABLE_VEHICLE_SOURCE").otherwise("DISCOVERY_ONLY_SOURCE").alias("category"),
+            F.when(sells & ~else_, 70).when(sells, 55).when(else_, 30).otherwise(40).alias("relevance"),
+            sells.alias("monitorable"),
+            F.slice(F.when(sells, h["market"]).otherwise(h["other"]), 1, 4).alias("signals"),
+        )
+
+    return _once(blob, lambda b: _once(F.struct(found(b, V.DISCOVERY_TERMS).alias("other"), found(b, V.MARKET_TERMS).alias("market")), judged))
 
 
 def hit_type(page_type: Column, dom: Column, text: Column) -> Column:
