@@ -120,7 +120,12 @@ def _parts(url: Column) -> dict[str, Column]:
 
 def quality(url: Column) -> Column:
     """FN-U07: EXACT_DETAIL, LIKELY_DETAIL, SEARCH_PAGE, HOMEPAGE or UNKNOWN by PAGE_RULES; search signs win over detail signs. NULL and '' are UNKNOWN."""
-    part = _parts(url)
+    # the parts are worked out once a row, however many rules name them
+    parts = F.struct(*[c.alias(k) for k, c in _parts(url).items()])
+    return F.get(F.transform(F.array(parts), lambda p: _judged(url, p)), F.lit(0))
+
+
+def _judged(url: Column, part: Column) -> Column:
     relation = {
         "is": lambda c, vs: c.isin(*vs), "has": lambda c, vs: F.arrays_overlap(c, F.array(*[F.lit(v) for v in vs])), "contains": _contains_any,
         "matches": lambda c, vs: reduce(lambda a, b: a | b, [c.rlike(v) for v in vs]),

@@ -79,9 +79,13 @@ def status_rows(before: DataFrame, after: DataFrame, at: Column) -> DataFrame:
 def reviewed(listings: DataFrame, platforms: tuple[str, ...] = ()) -> DataFrame:
     """DM05, DM13, SC14: every listing with the quality of its best URL worked out anew, its canonical URL chosen anew, and UNRESOLVED and ACTIVE exchanged where it now has or lacks the page of one item. A projection: no shuffle, any number of rows."""
     urls = F.array("canonical_listing_url", "original_listing_url", "listing_url")
-    best = best_external(F.col("canonical_listing_url"), F.col("original_listing_url"), F.col("listing_url"))
+    # columns of their own, so that what is used more than once is worked out once
+    rows = listings.withColumn("__best", best_external(F.col("canonical_listing_url"), F.col("original_listing_url"), F.col("listing_url")))
+    rows = rows.withColumn("__url", F.coalesce("__best", "listing_url"))
+    best = F.col("__best")
     status = F.when((F.col("listing_status") == "UNRESOLVED") & best.isNotNull(), "ACTIVE").when((F.col("listing_status") == "ACTIVE") & best.isNull(), "UNRESOLVED").otherwise(F.col("listing_status"))
-    return listings.withColumns({"listing_url_quality": quality(F.coalesce(best, F.col("listing_url"))), "canonical_listing_url": pick_canonical(urls, F.col("dealer_domain"), platforms), "listing_status": status})
+    out = rows.withColumns({"listing_url_quality": quality(F.col("__url")), "canonical_listing_url": pick_canonical(urls, F.col("dealer_domain"), platforms), "listing_status": status})
+    return out.drop("__best", "__url")
 
 
 def job_states(events: DataFrame) -> DataFrame:
